@@ -2,7 +2,7 @@
 
 1. A naive Bayes classifier is fitted on the labelled table: at most ``MAX_LABELLED`` labelled
    documents (the first by a hash of their id), of which distinct words and a few binned counts are
-   features; the ``VOCABULARY`` features that tell the domains apart best are kept. Both bounds are parameters.
+   features; the ``VOCABULARY`` features that are furthest from an even spread over the domains are kept. Both bounds are parameters.
 2. Every document gets its posterior over the domains, from all words of its whole text. The
    vocabulary is broadcast, its size being bounded.
 3. Rates x >= 0, one a document, fit the expected tokens A_d = sum x n p_d to the targets T_d by
@@ -29,6 +29,8 @@ from corvid.llm.shared import sized, written
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
 MAX_LABELLED, VOCABULARY, LEAST_DF, ROUNDS, TOLERANCE = 20_000, 4096, 10, 24, 1e-7
+#: Features less standard deviations from even are noise.
+LEAST_Z, SHRINK = 4.0, 4.0
 SEED = 7
 
 
@@ -71,11 +73,14 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str, text: str, domains:
     size = {r["domain"]: r["count"] for r in n}
     total = sum(size.values())
     prior = [math.log((size.get(d, 0) + 1) / (total + len(domains))) for d in domains]
-    like = [F.log((F.col(f"c{k}") + 0.5) / (size.get(d, 0) + 1.0)) for k, d in enumerate(domains)]
+    df = sum([F.col(f"c{k}") for k in range(1, len(domains))], F.col("c0"))
+    q = (df + 0.5) / (total + 1.0)
+    # Shrunk towards the share of the feature among all, by SHRINK documents.
+    like = [F.log((F.col(f"c{k}") + SHRINK * q) / (size.get(d, 0) + SHRINK)) for k, d in enumerate(domains)]
     mean = sum(like[1:], like[0]) / len(domains)
-    df = by.select("f", *[(x - mean).alias(f"l{k}") for k, x in enumerate(like)], sum([F.col(f"c{k}") for k in range(1, len(domains))], F.col("c0")).alias("df"))
-    worth = (F.greatest(*[f"l{k}" for k in range(len(domains))]) - F.least(*[f"l{k}" for k in range(len(domains))])) * F.sqrt("df")
-    kept = df.orderBy(worth.desc(), "f").limit(vocabulary).drop("df")
+    z = [F.abs(F.col(f"c{k}") - size.get(d, 0) * q) / F.sqrt(F.greatest(F.lit(size.get(d, 0)), F.lit(1)) * q * (1 - q) + 0.25) for k, d in enumerate(domains)]
+    kept = by.select("f", *[(x - mean).alias(f"l{k}") for k, x in enumerate(like)], F.greatest(*z).alias("z")).where(F.col("z") >= LEAST_Z)
+    kept = kept.orderBy(F.desc("z"), "f").limit(vocabulary).drop("z")
     return written(kept, "mix-vocabulary"), prior
 
 
