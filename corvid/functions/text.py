@@ -1,0 +1,205 @@
+"""Column functions on text, identifiers and paths, and translators from patterns to regular expressions."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Suffixes in order; the first that a path ends with wins. Case counts.
+LANGUAGES = (
+    ("zig", ".zig"), ("python", ".py", ".pyi"), ("typescript", ".ts", ".tsx", ".mts"), ("javascript", ".js", ".jsx", ".mjs", ".cjs"),
+    ("cpp", ".cpp", ".cc", ".cxx", ".hpp", ".hh", ".mm"), ("c", ".c", ".h", ".m"), ("rust", ".rs"), ("go", ".go"), ("php", ".php"), ("ruby", ".rb"),
+    ("hcl", ".tf", ".hcl", ".tfvars"), ("r", ".r", ".R"), ("dart", ".dart"), ("java", ".java"), ("kotlin", ".kt", ".kts"), ("swift", ".swift"),
+    ("svelte", ".svelte"), ("vue", ".vue"), ("astro", ".astro"), ("shell", ".sh", ".bash", ".zsh"), ("scss", ".scss", ".sass"), ("css", ".css"), ("sql", ".sql"),
+    ("protobuf", ".proto"), ("fortran", ".f90", ".f95", ".f03", ".f"), ("llvm_ir", ".ll"), ("mlir", ".mlir"), ("tablegen", ".td"), ("rescript", ".resi", ".res"),
+    ("markdown", ".md"), ("json", ".json"), ("yaml", ".yaml", ".yml"),
+)
+DOCS = ("markdown", "json", "yaml")
+SKIPPED_DIRS = ("node_modules", ".git", "target", "build", "dist", "__pycache__", ".venv", "vendor", ".cache", "zig-out")
+SKIPPED_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "pdf", "zip", "gz", "tar", "exe", "so", "dll", "o", "a", "class", "jar", "wasm", "lock", "ico", "woff", "woff2", "ttf", "mp3", "mp4", "bin")
+SECRET_NAMES = ("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials", "credentials.json", ".netrc", ".npmrc", ".pypirc", ".htpasswd", "secrets.yml", "secrets.yaml")
+SECRET_EXTENSIONS = ("pem", "key", "p12", "pfx", "jks", "keystore", "kdbx", "gpg", "asc")
+
+
+def fold(c: Column) -> Column:
+    """A-Z to a-z and nothing else."""
+    return F.translate(c, UPPER, LOWER)
+
+
+def lines(content: Column) -> Column:
+    return F.split(content, "\n", -1)
+
+
+def words(c: Column) -> Column:
+    """Runs of ASCII letters, digits and underscores."""
+    return F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+
+
+def subtokens(word: Column) -> Column:
+    """Parts of a compound identifier of four characters or more: camel case, snake case, acronyms, digits; parts of one character are dropped."""
+    parts = F.regexp_extract_all(word, F.lit(r"(?:^_)?(?:[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"), F.lit(0))
+    compound = (F.length(word) >= 4) & word.rlike("[A-Z_]")
+    return F.when(compound, F.filter(F.transform(parts, lambda p: F.lower(p)), lambda p: F.length(p) >= 2)).otherwise(F.array().cast("array<string>"))
+
+
+def language(path: Column) -> Column:
+    out = None
+    for name, *ends in LANGUAGES:
+        hit = path.endswith(ends[0])
+        for e in ends[1:]:
+            hit = hit | path.endswith(e)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("unknown")
+
+
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"[^/]*$", 0)
+
+
+def dirname(path: Column) -> Column:
+    return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
+def stem(path: Column) -> Column:
+    """The basename up to its first dot."""
+    return F.substring_index(basename(path), ".", 1)
+
+
+def is_safe(path: Column) -> Column:
+    """Relative, without parent steps, backslashes or NUL."""
+    return (path != "") & ~path.startswith("/") & ~path.contains("\\") & ~path.contains("\0") & ~path.rlike(r"(^|/)\.\.(/|$)")
+
+
+def is_sensitive(path: Column) -> Column:
+    return path.rlike(r"(^|/)\.(ssh|gnupg|aws)/") | path.rlike(r"(^|/)\.env([._-][^/]*)?$") | basename(path).isin(*SECRET_NAMES) | fold(path).rlike(r"\.(" + "|".join(SECRET_EXTENSIONS) + r")$")
+
+
+def is_skipped(path: Column) -> Column:
+    return fold(path).rlike(r"(^|/)(" + "|".join(map(re.escape, SKIPPED_DIRS)) + r")/") | fold(path).rlike(r"\.(" + "|".join(SKIPPED_EXTENSIONS) + r")$")
+
+
+def is_test(path: Column) -> Column:
+    p = fold(path)
+    return p.rlike(r"(^|/)(tests?|__tests__|spec)/") | p.rlike(r"(^|/)test_[^/]*$") | p.rlike(r"(_test|\.test|\.spec|_spec|tests)\.[a-z]+$")
+
+
+def is_doc(path: Column) -> Column:
+    return fold(path).endswith(".md") | fold(path).contains("/docs/")
+
+
+def is_vendored(path: Column) -> Column:
+    return fold(path).rlike(r"(^|/)(vendor|node_modules|third_party)/")
+
+
+def looks_binary(content: Column) -> Column:
+    return F.substring(content, 1, 512).contains("\0")
+
+
+def is_comment_or_blank(line: Column, lang: Column) -> Column:
+    """What `compact` leaves out."""
+    t = F.trim(F.translate(line, "\t\r", "  "))
+    hashes = lang.isin("python", "ruby", "shell", "yaml", "r", "hcl")
+    slashes = lang.isin("zig", "typescript", "javascript", "c", "cpp", "rust", "go", "php", "dart", "java", "kotlin", "swift", "scss", "protobuf", "rescript")
+    return (t == "") | (hashes & t.startswith("#")) | (slashes & (t.startswith("//") | t.startswith("/*") | t.startswith("*"))) | (lang.isin("sql") & t.startswith("--"))
+
+
+def occurrences(line: Column, query: str) -> Column:
+    """Non-overlapping, whatever the case of ASCII letters."""
+    q = query.translate(str.maketrans(UPPER, LOWER))
+    return ((F.length(line) - F.length(F.replace(fold(line), F.lit(q), F.lit("")))) / len(q)).cast("int")
+
+
+def whole_word(query: str) -> str:
+    return rf"(?<![A-Za-z0-9_]){re.escape(query)}(?![A-Za-z0-9_])"
+
+
+def glob_regex(pattern: str) -> str:
+    """An anchored expression for a glob: * and ? stay within a segment, ** crosses them, {a,b} is one level deep, classes never match a slash.
+
+    A pattern without a slash is looked for in every folder.
+    """
+    if "/" not in pattern:
+        pattern = "**/" + pattern
+    if re.search(r"\{[^{}]*\{", pattern):
+        raise ValueError("nested braces are not supported")
+    out, i, depth = [], 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out.append("(?:[^/]+/)*")
+            i += 3
+            continue
+        if pattern.startswith("**", i):
+            out.append(".*")
+            i += 2
+            continue
+        end = pattern.find("]", i + 2) if c == "[" else pattern.find("}", i) if c == "{" else -1
+        if c == "*":
+            out.append("[^/]*")
+        elif c == "?":
+            out.append("[^/]")
+        elif c == "[" and end > 0:
+            body = pattern[i + 1 : end]
+            negated = body[0] in "!^"
+            body = re.sub(r"([\\\[\]&^])", r"\\\1", body[1:] if negated else body)
+            out.append(f"[^/{body}]" if negated else f"(?!/)[{body}]")
+            i = end
+        elif c == "{" and end > 0 and "," in pattern[i:end]:
+            out.append("(?:")
+            depth = end
+        elif c == "}" and i == depth and depth:
+            out.append(")")
+            depth = 0
+        elif c == "," and depth:
+            out.append("|")
+        else:
+            out.append(re.escape(c))
+        i += 1
+    return f"^{''.join(out)}$"
+
+
+def checked_regex(pattern: str) -> str:
+    """The pattern, if it keeps to the dialect: no look-around, back-references or named groups, known escapes only."""
+    if not pattern:
+        raise ValueError("empty pattern")
+    for m in re.finditer(r"\\(.)", pattern, re.S):
+        if m[1].isalnum() and m[1] not in "dDwWsSbBAzntr0":
+            raise ValueError(f"unsupported escape \\{m[1]}")
+    if re.search(r"\(\?(?!:)", pattern):
+        raise ValueError("groups with (? are not supported")
+    re.compile(pattern.replace(r"\z", r"\Z"))
+    return pattern
+
+
+def literal_runs(pattern: str) -> list[str] | None:
+    """Literals of three characters or more that every match holds; None if that cannot be told. Groups, alternatives and optional parts give none."""
+    if "|" in pattern or "(?" in pattern:
+        return None
+    runs, now, i, depth = [], "", 0, 0
+    while i <= len(pattern):
+        c = pattern[i] if i < len(pattern) else ""
+        nxt = pattern[i + 1] if i + 1 < len(pattern) else ""
+        plain = bool(c) and c not in "\\.^$*+?()[]{}|" and depth == 0
+        if plain and nxt not in ("*", "?", "{"):
+            now += c
+            if nxt == "+":
+                runs, now = [*runs, now], ""
+        elif c == "\\" and nxt and not nxt.isalnum() and depth == 0 and pattern[i + 2 : i + 3] not in ("*", "?", "{"):
+            now += nxt
+            i += 1
+        else:
+            runs, now = [*runs, now], ""
+            if c == "\\":
+                i += 1
+            elif c == "[":
+                i = pattern.find("]", i + 2)
+                if i < 0:
+                    return None
+            elif c == "{":
+                i = max(pattern.find("}", i), i)
+            depth += (c == "(") - (c == ")")
+        i += 1
+    return [r for r in runs if len(r) >= 3] or None
