@@ -248,7 +248,7 @@ def path_filters(s, d):
 
 @query()
 def fuzzy_find(s, d):
-    return search.fuzzy_find(corpus.table(s, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("/")).alias("path")), "part 1", 50)
+    return search.fuzzy_find(corpus.table(s, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("/")).alias("path")), "red wid", 50)
 
 
 @query()
