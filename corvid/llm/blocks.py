@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: ``[\x20\x09-\x0D]``
 WS = np.zeros(256, dtype=bool)
 WS[[32, 9, 10, 11, 12, 13]] = True
