@@ -20,26 +20,32 @@ from pyspark.sql import functions as F
 
 from corvid.llm import blocks as B
 
-BUCKETS, SIZES, MAX_LABELLED, ROUNDS, RIDGE = 1 << 14, (3, 4, 5), 50_000, 600, 1e-4
+BUCKETS, SIZES, MAX_LABELLED, ROUNDS, RIDGE = 1 << 14, (3, 4, 5), 50_000, 1500, 1e-5
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-_BAD = """casino-win casino-royal online-casino free-bets bet-now sports-bets best-poker slot-spins cheap-pills pills-online
-viagra-shop pharma-deal spam-farm link-farm ads-track ad-server click-track popunder-ads adult-x adult-cams xxx-videos porn-hub
-hot-singles free-money win-prizes lotto-win payday-loan fast-cash cheap-watches replica-bags keygen-crack warez-serial""".split()
-_GOOD = """theren tionhe thering library news-daily museum university gardening cooking travel-notes city-council weather science
-history-blog community school open-source docs archive journal recipes photography music-lessons cycling astronomy thand tionst
-ererin ouleaux chenau cionmente theatre biology railways harbour forest mountain letters chess""".split()
-_FRONT, _END = ("", "www.", "blog.", "m."), (".example.com", ".example.org", ".example.net")
-_PATHS = ("/en/685", "/fr/414", "/de/301/", "/es/88", "/en/728.html", "/fr/15/")
-_BAD_PATHS, _GOOD_PATHS = (*_PATHS, "/win/free-bonus", "/buy/cheap"), (*_PATHS, "/articles/2019/review.html", "/about/history")
+#: Subjects of the built-in labelled table; both kinds meet the same companions and places, so that the subject alone decides.
+_BAD = """casino poker betting bets gambling roulette jackpot slots lottery bingo viagra cialis pills pharma steroids adult porn xxx escort
+sexcams hentai payday loans forex spam scam phishing malware clickbait popups adserver ads adtrack banners warez keygen crack torrents
+replica counterfeit giveaway""".split()
+_GOOD = """library news museum university gardening cooking travel council weather science history community school software docs archive
+journal recipes photography music cycling astronomy theatre biology railways harbour forest mountain letters chess hospital parish
+knitting physics language poetry charity football bakery farming""".split()
+_WITH = ("{}", "{}-online", "best-{}", "{}-club", "free-{}", "the{}", "{}-farm", "my-{}", "{}-win", "{}world", "hot-{}", "{}-track")
+_FRONT, _END = ("", "www.", "blog.", "m."), (".com", ".org", ".net", ".example.com", ".example.org", ".example.net")
+_PATHS = ("", "/", "/en/685", "/fr/414", "/de/301/", "/index.html", "/2019/review.html", "/about/history", "/p/88")
+
+
+def _meaningless(n: int) -> list[str]:
+    """Names without a meaning, by rule: nothing speaks against them."""
+    rng, out = np.random.default_rng(11), []
+    for _ in range(n):
+        out.append("".join("bcdfghjklmnprstvw"[rng.integers(17)] * int(rng.random() < 0.8) + "aeiou"[rng.integers(5)] + "lnrst"[rng.integers(5)] * int(rng.random() < 0.4) for _ in range(rng.integers(2, 5))))
+    return out
 
 
 def seed() -> list[tuple[str, int]]:
     """A small labelled table: (url, 1 to block)."""
-    out = []
-    for names, paths, label in ((_BAD, _BAD_PATHS, 1), (_GOOD, _GOOD_PATHS, 0)):
-        for k, name in enumerate(names):
-            out += [(f"https://{front}{name}{_END[(k + j) % 3]}{paths[(k + j) % len(paths)]}", label) for j, front in enumerate(_FRONT)]
-    return out
+    names = [(form.format(x), label) for words, label in ((_BAD, 1), (_GOOD, 0)) for x in words for form in _WITH] + [(x, 0) for x in _meaningless(240)]
+    return [(f"https://{_FRONT[k % 4]}{name}{_END[k % 6]}{_PATHS[k % 9]}", label) for k, (name, label) in enumerate(names)]
 
 
 def host(url: Column) -> Column:
