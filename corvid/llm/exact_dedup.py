@@ -85,6 +85,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dig
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the copies, with its own columns."""
     dig, cols = f"{_TMP}dig", docs.columns
+    id_col, text = (f"c{cols.index(x)}" for x in (id_col, text))
+    docs = docs.toDF(*[f"c{k}" for k in range(len(cols))])  # whatever the columns are named
     keys = _keys(docs, text)
     found = _groups(_digested(docs.select(id_col, text), keys, text, False), id_col)
     found = found.select(dig, F.col("keep_id").alias(f"{_TMP}keep"), F.col("at_keep").alias(f"{_TMP}one"))
@@ -92,4 +94,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     rows = rows.where(F.col(f"{_TMP}one").isNull() | F.col(id_col).eqNullSafe(F.col(f"{_TMP}keep")))
     single = rows.where(F.coalesce(f"{_TMP}one", F.lit(1)) == 1)
     again = rows.where(F.col(f"{_TMP}one") > 1).dropDuplicates([dig])
-    return single.select(*cols).unionByName(again.select(*cols))
+    return single.select(*docs.columns).unionByName(again.select(*docs.columns)).toDF(*cols)

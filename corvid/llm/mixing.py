@@ -141,7 +141,10 @@ def thin(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """docs, with its own columns, each row at most once (rates end at 1) and with the chance of its rate."""
     table = written(posteriors(docs, domain(labels, id_col), id_col, text), "mix-posteriors")
     rate, _ = rates(table, targets, relative=relative, max_rate=1.0)
-    gone = table.where(F.floor(rate + _chance("id")) < 1).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    gone = table.where(F.floor(rate + _chance("id")) < 1).select("id", "h").distinct()
     gone = sized(written(gone, "mix-gone"), 64)
-    hit = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__h"))
-    return docs.join(gone, hit, "left_anti")
+    cols = docs.columns
+    id_col, text = (f"c{cols.index(x)}" for x in (id_col, text))
+    docs = docs.toDF(*[f"c{k}" for k in range(len(cols))])  # whatever the columns are named
+    hit = F.col(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("h"))
+    return docs.join(gone, hit, "left_anti").toDF(*cols)
