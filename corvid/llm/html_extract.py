@@ -55,7 +55,7 @@ _CELLS, _TABLE_ENDS = frozenset("table td th template".split()), frozenset("tabl
 _EMPTY = frozenset("svg path use circle rect line polygon g".split())
 #: Their content is no markup, and no text of a page either.
 _RAW = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in ("script", "style", "title", "textarea", "noembed", "noframes", "xmp")}
-MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|<[a-zA-Z/][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _ROOT: tuple[str, bool, int, tuple[int, ...]] = ("", False, 0, ())
 _tags: dict[tuple[str, str], tuple[str, dict[str, str], int, bool]] = {}
