@@ -69,8 +69,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dig
     dig, more = f"{_TMP}dig", f"{_TMP}more"
     docs = docs.select(id_col, text)
     keys = _keys(docs, text)
-    rows = _digested(docs, keys, text, digest_all).select(F.col(id_col).alias("i"), more, dig)
-    found = _groups(_digested(docs, keys, text, False).select(id_col, more, dig), id_col)
+    rows = written(_digested(docs, keys, text, digest_all).select(F.col(id_col).alias("i"), more, dig), "exact-digests")
+    found = _groups(rows.withColumnRenamed("i", id_col), id_col)
     out = rows.join(found, dig, "left")
     out = out.select("i", F.when(F.col("group_size").isNull(), F.col("i")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce("at_keep", F.lit(1)).alias("one"), F.col(dig) if digest_all else F.when(F.col(more), F.col(dig)).alias(dig))
     kept = F.col("i").eqNullSafe(F.col("keep_id"))
