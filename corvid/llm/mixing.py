@@ -7,8 +7,9 @@
    vocabulary is broadcast, its size being bounded.
 3. Rates x >= 0, one a document, fit the expected tokens A_d = sum x n p_d to the targets T_d by
    projected-gradient least squares from x = 1: (A-T)' M (A-T) is made small, M being the inverse of
-   sum n^2 p p', for which a step of 1 is right. A rate is the same function of the document's tokens
-   and posterior for all documents, so that only the few residuals go to the driver and back, and a
+   sum n p p'. The gradient is scaled by 1/n for each document, so that a rate depends on what a document is
+   and not on its length, and a step of 1 is right. A rate is the same function of the posterior for all
+   documents, so that only the few residuals go to the driver and back, and a
    round is one aggregate over the table of tokens and posteriors.
 
 Documents are told by their id: rows that share id and text are counted, and each gets the same
@@ -104,7 +105,7 @@ def rates(table: DataFrame, targets: dict[str, float], domains: tuple = DOMAINS,
     """
     k = len(domains)
     n, m, p = F.col("n_tokens").cast("double"), F.col("m").cast("double"), [F.col(f"p{j}") for j in range(k)]
-    first = table.agg(*[F.sum(m * n * x) for x in p], *[F.sum(m * n * n * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
+    first = table.agg(*[F.sum(m * n * x) for x in p], *[F.sum(m * n * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
     have = np.array([x or 0.0 for x in first[:k]])
     gram = np.array([x or 0.0 for x in first[k:]]).reshape(k, k)
     goal = np.array([targets.get(d, 0.0) for d in domains])
@@ -119,7 +120,7 @@ def rates(table: DataFrame, targets: dict[str, float], domains: tuple = DOMAINS,
             break
         best = size
         pull = metric @ miss
-        rate = F.greatest(F.lit(0.0), rate - n * sum([float(pull[j]) * p[j] for j in range(1, k)], float(pull[0]) * p[0]))
+        rate = F.greatest(F.lit(0.0), rate - F.when(n > 0, sum([float(pull[j]) * p[j] for j in range(1, k)], float(pull[0]) * p[0])).otherwise(0.0))
         rate = F.least(rate, F.lit(float(max_rate))) if max_rate is not None else rate
         got = np.array([x or 0.0 for x in table.agg(*[F.sum(m * n * x * rate) for x in p]).first()])
     return rate, {"before": have.tolist(), "target": goal.tolist(), "after": got.tolist()}
