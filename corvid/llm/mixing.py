@@ -32,6 +32,8 @@ TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
 MAX_LABELLED, VOCABULARY, LEAST_DF, ROUNDS, TOLERANCE = 20_000, 4096, 10, 24, 1e-7
 #: Features less standard deviations from even are noise.
 LEAST_Z, SHRINK = 4.0, 4.0
+#: Features that change the odds by less are left out: many weak ones, which copies in the labelled table share, would add up in long texts.
+LEAST_LOG = 1.5
 SEED = 7
 
 
@@ -80,7 +82,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str, text: str, domains:
     like = [F.log((F.col(f"c{k}") + SHRINK * q) / (size.get(d, 0) + SHRINK)) for k, d in enumerate(domains)]
     mean = sum(like[1:], like[0]) / len(domains)
     z = [F.abs(F.col(f"c{k}") - size.get(d, 0) * q) / F.sqrt(F.greatest(F.lit(size.get(d, 0)), F.lit(1)) * q * (1 - q) + 0.25) for k, d in enumerate(domains)]
-    kept = by.select("f", *[(x - mean).alias(f"l{k}") for k, x in enumerate(like)], F.greatest(*z).alias("z")).where(F.col("z") >= LEAST_Z)
+    kept = by.select("f", *[(x - mean).alias(f"l{k}") for k, x in enumerate(like)], F.greatest(*z).alias("z")).where((F.col("z") >= LEAST_Z) & (F.greatest(*[F.abs(f"l{k}") for k in range(len(domains))]) >= LEAST_LOG))
     kept = kept.orderBy(F.desc("z"), "f").limit(vocabulary).drop("z")
     return written(kept, "mix-vocabulary"), prior
 
