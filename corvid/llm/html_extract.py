@@ -8,9 +8,13 @@ have are removed from each page of the host. The tree is an aggregate of (host,
 branch's text), a few short rows a page that combine before the shuffle, so that a host with a
 third of all pages is no group in one task.
 
-Two kinds of nodes are decided beforehand: those that say what they are (``nav``, ``footer``, a
-class ``ad``, a form ...) have no importance, and those inside ``article`` or, failing that,
-``main`` have full importance, as copies of an article within a host are still articles.
+Nodes that say what they are (``nav``, ``footer``, a class ``ad``, a form ...) have no importance.
+Text in ``article`` or, failing that, ``main`` is taken to be the page's text, and the tree corrects
+that both ways. Inside, the blocks also are nodes by their place from the start and from the end,
+and importance is the entropy of a node's contents as a share of that of the whole articles around
+it, so that what articles share goes but copies of an article stay; where under ``LEAST`` of an
+article would be left, it is a near copy of others and stays whole. Outside, text is added whose
+node at least ``MIN_PAGES`` pages have, with an importance of ``HIGH`` or more.
 
 Character references are decoded; white space ``[\\x20\\x09-\\x0D]`` inside a block becomes one
 space; blocks are trimmed and joined by one space. Null or empty html gives an empty text, and a
@@ -21,7 +25,7 @@ result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from html import unescape
 
@@ -33,7 +37,7 @@ from corvid.llm import blocks as B
 from corvid.llm.shared import sized, written
 from corvid.llm.url_filter import host
 
-LOW, MIN_PAGES = 0.25, 4
+LOW, HIGH, LEAST, MIN_PAGES = 0.25, 0.75, 0.25, 4
 _SPACE, _STRIP = re.compile(r"[\x20\x09-\x0D]+"), " \t\n\r\x0b\x0c"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset
@@ -132,7 +136,7 @@ def read(html: str | None) -> list[tuple[str | None, bool, int, tuple[int, ...]]
             text = html[at:stop]
             out.append((unescape(text) if "&" in text else text, noise, zone, path))
         if not m:
-            return out
+            return _placed(out)
         at = m.end()
         if not m[2]:
             continue
@@ -171,31 +175,77 @@ def read(html: str | None) -> list[tuple[str | None, bool, int, tuple[int, ...]]
         stack.append((tag, noise, zone if noise else max(zone, own), (*path, path_id(path[-1] if path else 0, label))))
 
 
-def nodes(pieces: list) -> Iterator[tuple[int, int]]:
-    """(path, digest of the text there) of the nodes outside articles and main."""
-    texts: dict[int, list[str]] = {}
-    for text, _, zone, path in pieces:
-        if text is not None and not zone:
-            for node in path[2:]:  # below html and body
-                texts.setdefault(node, []).append(text)
-    for node, parts in texts.items():
-        text = _SPACE.sub(" ", "".join(parts)).strip(_STRIP)
-        yield node, int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def _placed(pieces: list) -> list:
+    """Text in articles and main gets paths of its own, that end with the places of its block from the start and the end."""
+    found: list[list[int]] = [[]]
+    for i, (text, noise, zone, _) in enumerate(pieces):
+        if text is None:
+            if found[-1]:
+                found.append([])
+        elif zone and not noise and text.strip(_STRIP):
+            found[-1].append(i)
+    n = len(found) - (not found[-1])
+    for k, block in enumerate(found[:n]):
+        places = path_id(0, f"^{k}"), path_id(0, f"${n - k}")
+        for i in block:
+            text, noise, zone, path = pieces[i]
+            pieces[i] = text, noise, zone, (*(*path, 0, 0)[:2], *(~x for x in path[2:]), *places)
+    return pieces
+
+
+def _digest(parts: list[str]) -> int:
+    text = _SPACE.sub(" ", "".join(parts)).strip(_STRIP)
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def main_text(pieces: list, low: frozenset[int] = frozenset()) -> str:
-    for least in (2, 1, 0):
-        blocks, now = [], []
-        for text, noise, zone, path in [*pieces, (None, False, 0, ())]:
-            if text is None:
-                if now and (block := _SPACE.sub(" ", "".join(now)).strip(_STRIP)):
-                    blocks.append(block)
-                now = []
-            elif not noise and zone >= least and (zone or not low or low.isdisjoint(path)):
-                now.append(text)
-        if blocks:
-            return " ".join(blocks)
-    return ""
+def nodes(pieces: list) -> Iterator[tuple[int, int, int | None]]:
+    """(path, digest of the text there, digest of all text in articles and main) of the nodes; the last is None for nodes outside those."""
+    texts: dict[int, list[str]] = {}
+    inner: dict[int, list[str]] = {}
+    whole: list[str] = []
+    for text, noise, zone, path in pieces:
+        if text is None or (zone and (noise or not text.strip(_STRIP))):
+            continue
+        if zone:
+            whole.append(text)
+        for node in path[2:]:  # below html and body
+            (inner if zone else texts).setdefault(node, []).append(text)
+    for node, parts in texts.items():
+        yield node, _digest(parts), None
+    if inner:
+        article = _digest(whole)
+        for node, parts in inner.items():
+            yield node, _digest(parts), article
+
+
+def _joined(pieces: list, keep: Callable[[int, tuple[int, ...]], bool]) -> str:
+    blocks, now = [], []
+    for text, noise, zone, path in [*pieces, (None, False, 0, ())]:
+        if text is None:
+            if now and (block := _SPACE.sub(" ", "".join(now)).strip(_STRIP)):
+                blocks.append(block)
+            now = []
+        elif not noise and keep(zone, path):
+            now.append(text)
+    return " ".join(blocks)
+
+
+def main_text(pieces: list, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> str:
+    for least in (2, 1):
+        if whole := _joined(pieces, lambda zone, _: zone >= least):  # noqa: B023
+            if not low and not high:
+                return whole
+            inside = _joined(pieces, lambda zone, path: zone >= least and low.isdisjoint(path))  # noqa: B023
+            gone = low if len(inside) >= LEAST * len(whole) else frozenset()
+
+            def keep(zone: int, path: tuple[int, ...]) -> bool:
+                if zone >= least:  # noqa: B023
+                    return gone.isdisjoint(path)  # noqa: B023
+                own = path[:-2] if zone else path
+                return bool(own) and own[-1] in high and low.isdisjoint(path)
+
+            return _joined(pieces, keep)
+    return _joined(pieces, lambda _, path: low.isdisjoint(path))
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -203,32 +253,37 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.blocks(batches, "html"):
-            hosts, paths, digests = [], [], []
+            hosts, paths, digests, wholes = [], [], [], []
             for h, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                for path, digest in nodes(read(page)):
+                for path, digest, whole in nodes(read(page)):
                     hosts.append(h)
                     paths.append(path)
                     digests.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(digests, pa.int64())], names=["host", "path", "digest"])
+                    wholes.append(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(digests, pa.int64()), pa.array(wholes, pa.int64())], names=["host", "path", "digest", "whole"])
 
-    rows = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path long, digest long")
-    each = rows.groupBy("host", "path", "digest").agg(F.count("*").alias("c"))
+    rows = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path long, digest long, whole long")
+    each = rows.groupBy("host", "path", "digest", "whole").agg(F.count("*").alias("w"))
+    each = each.groupBy("host", "path", "digest").agg(F.sum("w").alias("c"), F.sum(F.col("w") * F.log("w")).alias("l"), F.count("whole").alias("inner"))
     n = F.sum("c")
     entropy = F.log(n) - F.sum(F.col("c") * F.log("c")) / n
-    return each.groupBy("host", "path").agg(n.alias("pages"), F.when(n > 1, entropy / F.log(n)).otherwise(1.0).alias("importance"))
+    most = F.when(F.sum("inner") > 0, F.log(n) - F.sum("l") / n).otherwise(F.log(n))
+    return each.groupBy("host", "path").agg(n.alias("pages"), F.when(most > 1e-9, entropy / most).otherwise(1.0).alias("importance"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of pages: id, url, text, n_chars."""
-    low = style_tree(pages, url, html).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
-    low = written(low.groupBy("host").agg(F.collect_set("path").alias("low")), "style-tree")
-    size = low.agg(F.coalesce(F.sum(F.size("low") * 8 + 64), F.lit(0)).alias("s")).first()["s"]
+    tree = style_tree(pages, url, html).where((F.col("pages") >= MIN_PAGES) & ((F.col("importance") < LOW) | (F.col("importance") >= HIGH)))
+    sets = [F.collect_set(F.when(F.col("importance") < LOW, F.col("path"))).alias("low"), F.collect_set(F.when(F.col("importance") >= HIGH, F.col("path"))).alias("high")]
+    low = written(tree.groupBy("host").agg(*sets), "style-tree")
+    size = low.agg(F.coalesce(F.sum((F.size("low") + F.size("high")) * 8 + 64), F.lit(0)).alias("s")).first()["s"]
     low = sized(low, -(-size // max(low.count(), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.blocks(batches, "html"):
-            texts = [main_text(read(page), frozenset(x or ())).encode("utf-8", "replace").decode() for page, x in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)]
+            sets = zip(part.column("html").to_pylist(), part.column("low").to_pylist(), part.column("high").to_pylist(), strict=True)
+            texts = [main_text(read(page), frozenset(x or ()), frozenset(y or ())).encode("utf-8", "replace").decode() for page, x, y in sets]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host(F.col(url)).alias("host")).join(low, "host", "left").select("id", "url", "html", "low")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host(F.col(url)).alias("host")).join(low, "host", "left").select("id", "url", "html", "low", "high")
     return rows.mapInArrow(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long")

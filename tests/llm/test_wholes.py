@@ -188,6 +188,22 @@ def test_style_tree(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_in_articles(spark):
+    """What articles of a host share goes from inside them, by path and by place; what varies outside stays; copies and near copies of an article stay whole."""
+    end = "<div class=x1>Pass it on to friends</div><p>Printed in our own house</p>"
+    bodies = [f"<div class=x0>Hello reader</div><div class=x2>lead {k} of the day</div><{tag}><p>story {k} {prose(k, 20 + k)}</p>{end}</{tag}>" for tag in ("article", "main") for k in range(8)]
+    rows = [(k, f"http://{'am'[k // 8]}.org/{k}", page(b)) for k, b in enumerate(bodies)]
+    copy = f"<article><p>{prose(99, 40)}</p><blockquote>quoted words</blockquote></article>"
+    rows += [(20 + k, f"http://copies.org/{k}", page(copy)) for k in range(6)]
+    rows += [(30 + k, f"http://mixed.org/{k}", page(copy if k % 2 else f"<article><p>other {k} {prose(k, 30)}</p></article>")) for k in range(12)]
+    rows += [(50 + k, f"http://near.org/{k}", page(f"<article><p>{prose(98, 40)}</p><div class=t>at {k} sharp</div></article>")) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"lead {k % 8} of the day story {k % 8} {prose(k % 8, 20 + k % 8)}" for k in range(16))
+    assert all(got[20 + k] == prose(99, 40) + " quoted words" for k in range(6))
+    assert all(got[30 + k] == (prose(99, 40) + " quoted words" if k % 2 else f"other {k} {prose(k, 30)}") for k in range(12))
+    assert all(got[50 + k] == prose(98, 40) + f" at {k} sharp" for k in range(6))
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels = mix_table()
     extra = [(1000, docs[3][1]), (1001, docs[3][1].replace(" ", "\n")), (1002, edited(docs[4][1], 1, 1)), (1003, "too short"), (1004, " ".join(["same words over and over again and"] * 30)), (1005, None)]
