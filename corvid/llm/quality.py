@@ -5,8 +5,9 @@ by prefix doubling, in which only suffixes that still tie with another of their
 on. The ranks of all rounds give the longest common prefix of neighbours in the suffix array, and
 so, for each position, the longest repeat that starts there: the right-maximal intervals of the
 LCP array, of which no list is needed. A text fails when repeats of ``min_words`` words or more
-cover over ``max_covered`` of its words, or when one repeat is both longer than
-``longest_words`` words and than ``max_longest`` of the text.
+cover over ``max_covered`` of its words, or when one repeat is longer than ``longest_words`` words,
+however long the text. Both limits lie well within what the base rule lets pass (repeats of 8
+words that cover up to 0.3).
 
 Null and empty texts have no words, and so fail the base rule. Repeated rows are judged each for
 itself; an empty table gives an empty result. Memory is bounded by a block (see blocks.py).
@@ -25,7 +26,7 @@ from corvid.llm import blocks as B
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-RULES = {"min_words": 12, "max_covered": 0.3, "longest_words": 50, "max_longest": 0.2}
+RULES = {"min_words": 12, "max_covered": 0.1, "longest_words": 50}
 
 
 def _ranked(keys: np.ndarray) -> np.ndarray:
@@ -127,7 +128,7 @@ def judge(col: pa.Array, rules: dict = RULES) -> dict[str, np.ndarray]:
     np.maximum.at(longest, doc, best)
     out["longest_repeat"] = longest
     out["base_failed"] = (n_words < 20) | (100 * out["n_repeat_words"] > 30 * n_words)
-    out["kept"] = ~(out["base_failed"] | (out["covered_words"] > rules["max_covered"] * n_words) | (longest > np.maximum(rules["longest_words"], rules["max_longest"] * n_words)))
+    out["kept"] = ~(out["base_failed"] | (out["covered_words"] > rules["max_covered"] * n_words) | (longest > rules["longest_words"]))
     return out
 
 

@@ -240,6 +240,19 @@ def test_quality_of_repeats():
     assert out["longest_repeat"].tolist()[1] == 60 and out["covered_words"].tolist()[1] == 120
 
 
+def test_quality_beyond_the_base_rule():
+    """Long repeats decide where the base rule does not: by their share, or by the length of one."""
+    import pyarrow as pa
+
+    def twice(passage: int, rest: int) -> str:
+        return " ".join([prose(5, rest), prose(6, passage), prose(7, rest), prose(6, passage), prose(8, rest)])
+
+    out = quality.judge(pa.array([twice(40, 170), twice(60, 650), twice(40, 650)]))
+    assert out["base_failed"].tolist() == [False, False, False]
+    assert out["longest_repeat"].tolist() == [40, 60, 40] and out["covered_words"].tolist() == [80, 120, 80]
+    assert out["kept"].tolist() == [False, False, True]
+
+
 def test_oracles_have_queries():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
