@@ -183,6 +183,21 @@ def bm25_batch(s, d):
     return r.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
 
 
+WHOLE = BATCH.replace("SELECT DISTINCT item_id, lower(t) AS word FROM (", "SELECT DISTINCT item_id, unnest(list_prepend(lower(t), " + PARTS + ")) AS word FROM (").replace("length(t) >= 6", "length(t) >= 2")
+
+
+@query(f"WITH {WHOLE}, r AS (SELECT item_id, path, round(s, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, path) AS k FROM score) SELECT item_id AS query_id, path, score FROM r WHERE k <= 5")
+def bm25_batch_whole(s, d):
+    """As bm25_batch, by all words of the passages and their parts."""
+    from pyspark.sql import Window as W
+
+    each = F.transform(F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 2), lambda w: F.concat(F.array(F.lower(w)), T.subtokens(w)))
+    q = corpus.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.flatten(each)).alias("terms"))
+    r = search.bm25_scores(_lines(s, d), q).select("query_id", "path", F.round("score", 6).alias("score"))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    return r.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
+
+
 TRI = TEXT_FILES_SQL + f""", ch AS (SELECT path, string_split(translate(content, '{UP}', '{LOW}'), '') AS c FROM files),
 g AS (SELECT path, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM ch),
 grams AS (SELECT DISTINCT path, gram FROM g WHERE NOT regexp_matches(gram, '^[ \\t\\n\\v\\f\\r]+$'))"""

@@ -142,3 +142,27 @@ def test_sparse_spans_cover():
     text = "the quick brown fox jumps over the lazy dog and runs far away"
     spans = index.sparse_spans(text, {(a, b): (ord(a) * 7 + ord(b) * 13) % 100 for a in text for b in text})
     assert all(3 <= b - a <= 16 for a, b in spans) and {k for a, b in spans for k in range(a, b)} == set(range(len(text)))
+
+
+def test_batch_takes_all_words(spark, tmp_path):
+    """Short words and parts of compound words decide as long ones do; scores against plain Python."""
+    import math
+    from collections import Counter
+
+    from corvid.plans import registry
+
+    docs = {0: "plain words standing everywhere\nox", 1: "plain words standing everywhere", 2: "getHttpThing plain", 3: "http thing", 4: "words a b c", 5: ""}
+    asked = {7: "ox words", 8: "HttpServer a", 9: "parseThing everywhere", 10: "x"}
+    spark.createDataFrame([(k, t, "en", "src0") for k, t in docs.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["query_id"], int(re.search(r"doc_(\d+)", r["path"])[1])): r["score"] for r in registry.bm25_batch_whole(spark, str(tmp_path)).collect()}
+    tf = {d: Counter(w for line in t.split("\n") for w in search.terms_of(line)) for d, t in docs.items()}
+    size = {d: len([w for w in re.findall(r"\w+", t) if len(w) >= 2]) for d, t in docs.items()}
+    df, avg, want = Counter(w for c in tf.values() for w in c), sum(size.values()) / len(docs), {}
+    for q, t in asked.items():
+        for d, c in tf.items():
+            part = [math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * (c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * max(size[d], 1) / avg)) + 0.5) for w in search.terms_of(t) if c[w]]
+            if part:
+                want[q, d] = sum(part)
+    assert got == pytest.approx(want, abs=2e-6) and {d for q, d in got if q == 8} == {2, 3}
+    assert got[7, 0] > 2 * got[7, 1]
