@@ -102,15 +102,27 @@ def sparse_spans(text: str, weight: dict[tuple[str, str], int]) -> list[tuple[in
 
 
 def sparse_ngrams(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(gram, path) of each file's spans. The table of pairs has at most one row for two characters and goes to all tasks as a dictionary."""
-    weight = {(r["a"], r["b"]): r["weight"] for r in pairs.orderBy(F.desc("n"), "a", "b").limit(1 << 16).collect()}
+    """(gram, path) of each file's spans. The most frequent pairs go to all tasks as a dictionary; what others a file has get their weights by a join, however many the table has."""
+    common = {(r["a"], r["b"]): r["weight"] for r in pairs.orderBy(F.desc("n"), "a", "b").limit(1 << 16).collect()}
+    files = files.select("path", T.fold(F.col("content")).alias("content"))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for p, t in zip(part["path"], part["content"], strict=True):
+                yield pd.DataFrame([(p, a, b) for a, b in set(zip(t, t[1:], strict=False)) - common.keys()], columns=["path", "a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(t[a:b], p) for p, t in zip(part["path"], part["content"], strict=True) for a, b in sparse_spans(t, weight)]
+            rows = []
+            for p, t, two, w in zip(part["path"], part["content"], part["two"], part["w"], strict=True):
+                weight = common if two is None else common | {(x[0], x[1]): k for x, k in zip(two, w, strict=True)}
+                rows += [(t[a:b], p) for a, b in sparse_spans(t, weight)]
             yield pd.DataFrame(rows, columns=["gram", "path"]).drop_duplicates()
 
-    return files.select("path", T.fold(F.col("content")).alias("content")).mapInPandas(run, "gram string, path string")
+    weighed = files.mapInPandas(own, "path string, a string, b string").join(pairs.select("a", "b", "weight"), ["a", "b"])
+    weighed = weighed.groupBy("path").agg(F.collect_list(F.struct(F.concat("a", "b").alias("two"), "weight")).alias("x"))
+    each = files.join(weighed, "path", "left").select("path", "content", F.col("x.two").alias("two"), F.col("x.weight").alias("w"))
+    return each.mapInPandas(run, "gram string, path string")
 
 
 def covering_candidates(ngrams: DataFrame, query: str) -> DataFrame:

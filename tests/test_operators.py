@@ -144,6 +144,16 @@ def test_sparse_spans_cover():
     assert all(3 <= b - a <= 16 for a, b in spans) and {k for a, b in spans for k in range(a, b)} == set(range(len(text)))
 
 
+def test_sparse_ngrams_beyond_65536_pairs(spark):
+    """Rare pairs keep their weights however many frequent ones there are."""
+    text = "the quick brown fox jumps over the lazy dog and runs far away"
+    weight = {(a, b): (ord(a) * 7 + ord(b) * 13) % 100 for a in text for b in text}
+    filler = spark.range(1 << 16).selectExpr("concat('x', id) AS a", "'y' AS b", "9L AS n", "1 AS weight")
+    pairs = filler.unionByName(spark.createDataFrame([(a, b, 1, w) for (a, b), w in weight.items()], "a string, b string, n long, weight int"))
+    got = index.sparse_ngrams(spark.createDataFrame([("p", text.upper()), ("q", "ab"), ("r", "")], "path string, content string"), pairs)
+    assert {tuple(r) for r in got.collect()} == {(text[a:b], "p") for a, b in index.sparse_spans(text, weight)}
+
+
 def test_batch_takes_all_words(spark, tmp_path):
     """Short words and parts of compound words decide as long ones do; scores against plain Python."""
     import math
