@@ -73,6 +73,28 @@ def test_chain_is_one_class(spark):
     assert got == brute_classes(docs) and set(got.values()) == {0}
 
 
+def test_near_dedup_edges(spark):
+    """Ids at several texts are told by the text; null ids stand alone; very long texts and repeated rows are whole; no rows give none."""
+    a, b, c, long = prose(1, 60), prose(2, 200), edited(prose(2, 200), 1, 5), prose(3, 30_000)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, None), (4, long), (5, edited(long, 9, 1)), (6, None), (7, " \n"), (8, a.upper())]
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"], r["kept"]) for r in near_dedup.near_dedup(documents(spark, rows)).collect())
+    want = [(1, 1, 3, True), (2, 1, 3, False), (2, 2, 3, True), (3, 2, 3, False), (3, 2, 3, False), (None, None, 1, True), (None, None, 1, True), (4, 4, 2, True), (5, 4, 2, False), (6, 6, 2, True), (7, 6, 2, False), (8, 1, 3, False)]
+    assert got == sorted((str(x[0]), str(x[1]), *x[2:]) for x in want)
+    kept = near_dedup.keep_one(documents(spark, rows))
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("1", a), ("2", b), ("None", a), ("None", ""), ("4", long), ("6", "")])
+    assert kept.columns == documents(spark, []).columns
+    assert near_dedup.near_dedup(documents(spark, [])).count() == 0
+
+
+def test_links_between_members_unlike_their_head(spark):
+    """Two families of near copies that share keys: classes as by brute force, though no head is like all members."""
+    one = prose(11, 150)
+    two = edited(one, 9, 77)
+    docs = {k: edited(one if k % 2 else two, 1 + k % 4, 300 + k) for k in range(60)}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(documents(spark, list(docs.items()))).collect()}
+    assert got == brute_classes(docs)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(a, a + 1) for a in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)]
