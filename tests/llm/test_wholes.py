@@ -128,6 +128,26 @@ def test_exact_native_and_near_keep(spark):
         assert op(documents(spark, [])).count() == 0
 
 
+def test_keep_first_brute(spark):
+    """Rows that stay, by id and text, against a plain rule; with null ids, ids at several rows, long white space and clashing names."""
+    import re
+
+    rng = random.Random(3)
+    texts = ["", " ", "a b", "a  b", "ab", "a\nb", " " * 5000 + "a b", " " * 5001 + "a b", "x" * 127 + " y", "x" * 127 + "  y", "x" * 127 + " z", *[prose(k, 40) for k in range(4)], prose(1, 40).replace(" ", "\t ")]
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *texts])) for _ in range(300)]
+    rows += [(1000 + k, f"single {k}") for k in range(20)]
+    best: dict[str, tuple] = {}
+    for d, t in rows:
+        n = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        best[n] = min(best.get(n, (True, 0)), (d is None, d or 0)) if n in best else (d is None, d or 0)
+    got = exact_dedup.keep_first(documents(spark, rows)).collect()
+    assert len(got) == len(best)
+    assert {re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""): (r["doc_id"] is None, r["doc_id"] or 0) for r in got} == best
+    full = exact_dedup.exact_dedup(documents(spark, rows)).collect()
+    assert len(full) == len(rows) and sum(r["kept"] for r in full) == len(best)
+    assert all(r["digest"] is None and r["group_size"] == 1 for r in full if (r["doc_id"] or 0) >= 1010)
+
+
 def mix_table() -> tuple[list, list]:
     docs, labels = [], []
     for d in range(400):
