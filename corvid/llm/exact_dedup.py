@@ -49,17 +49,17 @@ def _prefix(text: Column) -> Column:
 
 
 def surviving(docs: DataFrame) -> DataFrame:
-    """(len, pre) of the groups of docs (id, text) with more than one row."""
+    """pre of the (length, prefix) groups of docs (id, text) with more than one row; the same prefix at another length, which costs a digest more, is rare."""
     rows = docs.select("text", solid_length(F.col("text")).alias("len"))
     lengths = rows.groupBy("len").agg(F.count("*").alias("c")).where("c > 1").select("len")
     rows = rows.join(sized(written(lengths, "exact-lengths"), 16), "len", "left_semi")
     both = rows.select("len", _prefix(F.col("text")).alias("pre")).groupBy("len", "pre").agg(F.count("*").alias("c"))
-    return sized(written(both.where("c > 1").select("len", "pre", F.lit(True).alias("more")), "exact-keys"), 64)
+    return sized(written(both.where("c > 1").select("pre", F.lit(True).alias("more")).distinct(), "exact-keys"), 48)
 
 
 def _digested(docs: DataFrame, keys: DataFrame, digest_all: bool) -> DataFrame:
     """id, more (whether the row survives) and digest, which is null for the other rows unless ``digest_all``."""
-    rows = docs.select("id", "text", solid_length(F.col("text")).alias("len"), _prefix(F.col("text")).alias("pre")).join(keys, ["len", "pre"], "left")
+    rows = docs.select("id", "text", _prefix(F.col("text")).alias("pre")).join(keys, "pre", "left")
     full = F.unhex(F.sha2(normalised(F.col("text")), 256))
     more = F.coalesce("more", F.lit(False))
     return rows.select("id", more.alias("more"), (full if digest_all else F.when(more, full)).alias("digest"))
