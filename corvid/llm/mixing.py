@@ -1,8 +1,10 @@
 """Mixing sources to target weights by soft membership, with DataFrame functions only.
 
-1. A naive Bayes classifier is fitted on the labelled table: at most ``MAX_LABELLED`` labelled
+1. A multinomial logistic regression is fitted on the labelled table: at most ``MAX_LABELLED`` labelled
    documents (the first by a hash of their id), of which distinct words and a few binned counts are
-   features; the ``VOCABULARY`` features that are furthest from an even spread over the domains are kept. Both bounds are parameters.
+   features; of each domain the ``VOCABULARY`` / domains features that stand out most in it are kept.
+   What reaches the driver for the fit is at most one number for each of these documents and features.
+   Both bounds are parameters.
 2. Every document gets its posterior over the domains, from all words of its whole text. The
    vocabulary is broadcast, its size being bounded.
 3. Rates x >= 0, one a document, fit the expected tokens A_d = sum x n p_d to the targets T_d by
@@ -19,21 +21,20 @@ too. Without labelled documents the posterior is even; an empty table gives an e
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm.shared import sized, written
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
-MAX_LABELLED, VOCABULARY, LEAST_DF, ROUNDS, TOLERANCE = 20_000, 4096, 10, 24, 1e-7
-#: Features less standard deviations from even are noise.
-LEAST_Z, SHRINK = 4.0, 4.0
-#: Features that change the odds by less are left out: many weak ones, which copies in the labelled table share, would add up in long texts.
-LEAST_LOG = 1.5
+MAX_LABELLED, VOCABULARY, LEAST_DF, ROUNDS, TOLERANCE = 20_000, 3072, 5, 24, 1e-7
+#: Features less standard deviations from even are noise. Ridge penalty and steps of the fit.
+LEAST_Z, RIDGE, STEPS = 3.0, 1e-3, 150
 SEED = 7
 
 
@@ -64,36 +65,79 @@ def features(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return t.select("id", F.xxhash64("t").alias("h"), F.col("n").cast("long").alias("n_tokens"), F.concat(F.array(*bins), F.array_distinct(F.split("w", " "))).alias("f"))
 
 
+def fit(rows: list[np.ndarray], y: np.ndarray, n_features: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (feature, domain) and biases of a multinomial logistic regression on the features that each document has."""
+    if not len(y):
+        return np.zeros((n_features, k)), np.zeros(k)
+    # A last feature that all have keeps empty rows apart and is the bias.
+    size = np.array([len(r) + 1 for r in rows])
+    at = np.concatenate([np.append(r, n_features) for r in rows]).astype(np.int64)
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    n = len(y)
+    share = np.bincount(at, minlength=n_features + 1) / n
+    scale = 1 / np.sqrt(np.maximum(share * (1 - share), 1 / n))
+    scale[-1] = 1.0
+    x = scale[at]
+    goal = np.eye(k)[y]
+    times = lambda w: np.stack([np.add.reduceat(w[at, j] * x, start) for j in range(w.shape[1])], 1)
+    back = lambda e: np.stack([np.bincount(at, np.repeat(e[:, j], size) * x, minlength=n_features + 1) for j in range(e.shape[1])], 1) / n
+    v = np.random.default_rng(1).random((n_features + 1, 1))
+    for _ in range(12):
+        v = back(times(v / np.linalg.norm(v)))
+    step = 1 / (0.5 * np.linalg.norm(v) + RIDGE)
+    w, ahead, t = np.zeros((n_features + 1, k)), np.zeros((n_features + 1, k)), 1.0
+    for _ in range(STEPS):
+        p = times(ahead)
+        p = np.exp(p - p.max(1, keepdims=True))
+        new = ahead - step * (back(p / p.sum(1, keepdims=True) - goal) + RIDGE * ahead)
+        t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        w, ahead = new, new + (last - 1) / t * (new - w)
+    w *= scale[:, None]
+    return w[:-1], w[-1]
+
+
+def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few rows, by a literal and no RDD."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def train(docs: DataFrame, labelled: DataFrame, id_col: str, text: str, domains: tuple, most: int, vocabulary: int) -> tuple[DataFrame, list[float]]:
-    """(feature, a log-likelihood for each domain less their mean) and the log priors."""
+    """(feature, what it adds to the log odds of each domain) and the log odds of a document with none of the features."""
     few = labelled.where(F.col("domain").isin(*domains)).orderBy(F.xxhash64("id"), "id", "domain").limit(most)
     few = sized(written(few, "mix-labelled"), 64)
-    rows = docs.join(few.select(F.col("id").alias(id_col), "domain"), id_col)
-    seen = features(rows, id_col, text).join(few, "id").select("domain", F.explode_outer("f").alias("f"))
+    # Rows that share id and text are one document here.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(few.select("id"), "id", "left_semi").distinct()
+    seen = features(rows, "id", "t").join(few, "id").select("id", "h", "domain", F.explode_outer("f").alias("f"))
+    seen = written(seen, "mix-features")
     sums = [F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)]
-    by = written(seen.groupBy("f").agg(*sums).where(" + ".join(f"c{k}" for k in range(len(domains))) + f" >= {LEAST_DF}"), "mix-counts")
-    n = rows.groupBy("domain").count().collect()
-    size = {r["domain"]: r["count"] for r in n}
-    total = sum(size.values())
-    prior = [math.log((size.get(d, 0) + 1) / (total + len(domains))) for d in domains]
     df = sum([F.col(f"c{k}") for k in range(1, len(domains))], F.col("c0"))
-    q = (df + 0.5) / (total + 1.0)
-    # Shrunk towards the share of the feature among all, by SHRINK documents.
-    like = [F.log((F.col(f"c{k}") + SHRINK * q) / (size.get(d, 0) + SHRINK)) for k, d in enumerate(domains)]
-    mean = sum(like[1:], like[0]) / len(domains)
-    z = [F.abs(F.col(f"c{k}") - size.get(d, 0) * q) / F.sqrt(F.greatest(F.lit(size.get(d, 0)), F.lit(1)) * q * (1 - q) + 0.25) for k, d in enumerate(domains)]
-    kept = by.select("f", *[(x - mean).alias(f"l{k}") for k, x in enumerate(like)], F.greatest(*z).alias("z")).where((F.col("z") >= LEAST_Z) & (F.greatest(*[F.abs(f"l{k}") for k in range(len(domains))]) >= LEAST_LOG))
-    kept = kept.orderBy(F.desc("z"), "f").limit(vocabulary).drop("z")
-    return written(kept, "mix-vocabulary"), prior
+    by = written(seen.groupBy("f").agg(*sums).where(df >= LEAST_DF), "mix-counts")
+    size = {r["domain"]: r["count"] for r in seen.select("id", "h", "domain").distinct().groupBy("domain").count().collect()}
+    q = (df + 0.5) / (sum(size.values()) + 1.0)
+    words = set()
+    for k, d in enumerate(domains):
+        n = float(size.get(d, 0))
+        z = (F.col(f"c{k}") - n * q) / F.sqrt(F.lit(max(n, 1.0)) * q * (1 - q) + 0.25)
+        top = by.select("f", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(vocabulary // len(domains))
+        words |= {r["f"] for r in top.collect()}
+    words = sorted(words)
+    spark = docs.sparkSession
+    number = F.broadcast(_literal(spark, [{"f": f, "j": j} for j, f in enumerate(words)], "f string, j int"))
+    of = seen.join(number, "f", "left").groupBy("id", "h", "domain").agg(F.array_join(F.collect_list(F.col("j").cast("string")), " ").alias("has"))
+    got = of.select("domain", "has").collect()
+    w, bias = fit([np.array(r["has"].split(), np.int64) for r in got], np.array([domains.index(r["domain"]) for r in got], np.int64), len(words), len(domains))
+    lists = [{"f": f} | {f"l{k}": float(x) for k, x in enumerate(w[j])} for j, f in enumerate(words)]
+    model = _literal(spark, lists, "f string, " + ", ".join(f"l{k} double" for k in range(len(domains))))
+    return written(model, "mix-vocabulary"), bias.tolist()
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", domains: tuple = DOMAINS, most: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> DataFrame:
     """id, h, n_tokens, m (rows that share id and text), p (array of posteriors)."""
-    model, prior = train(docs, labelled, id_col, text, domains, most, vocabulary)
+    model, bias = train(docs, labelled, id_col, text, domains, most, vocabulary)
     rows = features(docs, id_col, text).select("id", "h", "n_tokens", F.posexplode_outer("f").alias("at", "f")).join(F.broadcast(model), "f", "left")
     sums = [F.sum(F.coalesce(f"l{k}", F.lit(0.0))).alias(f"s{k}") for k in range(len(domains))]
     by = rows.groupBy("id", "h", "n_tokens").agg(F.count_if(F.col("at") == 0).alias("m"), *sums)
-    logit = [F.col(f"s{k}") / F.col("m") + prior[k] for k in range(len(domains))]
+    logit = [F.col(f"s{k}") / F.col("m") + bias[k] for k in range(len(domains))]
     by = by.select("id", "h", "n_tokens", "m", *[x.alias(f"s{k}") for k, x in enumerate(logit)])
     top = F.greatest(*[f"s{k}" for k in range(len(domains))])
     power = [F.exp(F.col(f"s{k}") - top) for k in range(len(domains))]

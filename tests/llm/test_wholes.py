@@ -172,16 +172,45 @@ def test_mixing_meets_targets(spark, tmp_path):
 
 
 def test_mixing_rates_solve_the_least_squares(spark):
-    """Projected gradient against a plain numpy version of the same steps."""
+    """Projected gradient against a plain numpy version of the same steps, with and without a ceiling; and its end against the conditions of a minimum."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 300)
-    n = rng.integers(1, 500, 300)
-    table = spark.createDataFrame([(k, k, int(n[k]), 1, *map(float, p[k])) for k in range(300)], "id long, h long, n_tokens long, m long, p0 double, p1 double, p2 double")
-    rate, info = mixing.rates(table, {"good": 0.6, "poor": 0.3, "toxic": 0.1})
-    x = np.array([r[0] for r in table.select(rate, "id").orderBy("id").collect()])
-    assert (x >= 0).all() and np.allclose((x * n) @ p, info["target"], rtol=1e-3)
+    p, n, m = rng.dirichlet([0.3, 0.3, 0.3], 300), rng.integers(0, 500, 300), rng.integers(1, 4, 300)
+    table = spark.createDataFrame([(k, k, int(n[k]), int(m[k]), *map(float, p[k])) for k in range(300)], "id long, h long, n_tokens long, m long, p0 double, p1 double, p2 double")
+    for targets, ceiling in (({"good": 0.6, "poor": 0.3, "toxic": 0.1}, None), ({"good": 0.9, "poor": 0.1, "toxic": 0.0}, 1.0)):
+        rate, info = mixing.rates(table, targets, max_rate=ceiling)
+        x = np.array([r[0] for r in table.select(rate, "id").orderBy("id").collect()])
+        mass = (n * m)[:, None] * p
+        have, gram = mass.sum(0), mass.T @ p
+        goal = np.array([targets[d] for d in mixing.DOMAINS]) * have.sum()
+        metric = np.linalg.pinv(gram + np.eye(3) * np.trace(gram) * 1e-9)
+        want, best = np.ones(300), math.inf
+        for _ in range(mixing.ROUNDS):
+            miss = mass.T @ want - goal
+            size = miss @ metric @ miss
+            if np.abs(miss).max() <= mixing.TOLERANCE * have.sum() or size > best * (1 - 1e-4):
+                break
+            best = size
+            want = np.clip(want - np.where(n > 0, p @ (metric @ miss), 0.0), 0.0, ceiling or math.inf)
+        assert np.allclose(x, want, rtol=1e-6, atol=1e-9) and (x >= 0).all()
+        if not ceiling:
+            assert np.allclose(mass.T @ x, info["target"], rtol=1e-3)
+
+
+def test_mixing_fit():
+    """The classifier's end has no slope left, and knows what decides."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 600)
+    rows = [np.unique(np.r_[rng.integers(0, 30, 6), [30 + k] * (rng.random() < 0.8)]).astype(int) for k in y]
+    w, bias = mixing.fit(rows, y, 33, 3)
+    score = np.array([bias + w[r].sum(0) for r in rows])
+    assert np.mean(score.argmax(1) == y) > 0.8 and all(w[30 + k].argmax() == k for k in range(3))
+    e = np.exp(score - score.max(1, keepdims=True))
+    assert np.abs((e / e.sum(1, keepdims=True)).mean(0) - np.bincount(y) / 600).max() < 0.01
+    assert mixing.fit([], np.zeros(0, int), 2, 3)[0].shape == (2, 3)
 
 
 def test_mixing_edges(spark):
