@@ -3,18 +3,22 @@
 P(w | v) = a_b c(v,w)/c(v) + b_b c(w)/N + g_b 1/(V+1), with weights for each bucket b of the
 context's frequency c(v) (powers of two). The weights come from expectation-maximisation on held-out
 counts: each training event is held out in turn, that is, one is deleted from its own counts, and
-all events of all training documents count. They meet in a histogram over (bucket, log c(v,w)-1,
-log c(v)-1, log c(w)-1) in steps of an eighth of an octave, whose size does not grow with the input.
+all events of all training documents count. They meet in a histogram over (c(v,w)-1, c(v)-1, c(w)-1),
+counts up to ``SAME`` each for itself and greater ones by half octaves (c(w) by octaves), which has
+under 200,000 cells, whatever the input.
 
-Counts are exact and grow with the corpus: documents are dealt to batches of about ``BATCH``
-documents by a hash of the id; each batch lists its distinct n-grams (64-bit hashes) with its own
-training counts, dealt by hash to as many buckets as there are batches; each bucket adds up and
-answers every batch. An n-gram, however frequent, is one entry a batch. The text is shuffled once and
-used twice (Spark reuses the exchange); what is written is two counts a token, compressed.
+Counts are of the whole corpus, by 64-bit hashes of tokens and pairs. Documents are packed, in the order in
+which they are read, into rows of about ``BATCH`` bytes of text, which are written once: neither an id nor
+a text that many rows share makes a row large, only one very long document, which is a row of its own. Each
+batch lists its distinct n-grams with its own training counts, dealt by hash to as many buckets as there are
+batches; each bucket adds up, counts its distinct words and answers every batch. An n-gram, however frequent, is
+one entry a batch. Such lists are one row for each batch and bucket, until a row holds one n-gram.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end; the first token's
 context is that end. Null and empty texts are one end token. A null id counts as the empty string
 for the split. Repeated rows each count and are each scored; an empty table gives an empty result.
+No column but the id and the text is looked at, whatever its name; an id named like a column of the
+result is refused.
 """
 
 from __future__ import annotations
@@ -24,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import blocks as B
 from corvid.llm.shared import written
 
-BATCH, FOLDS, HELD = 1000, 7, 2
+BATCH, FOLDS, HELD = 4 << 20, 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
-LEVELS, ROUNDS, FLOOR = 24, 60, 1e-5
+LEVELS, ROUNDS, FLOOR, SAME = 24, 60, 1e-5, 32
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -48,8 +53,8 @@ def unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
-def tokens(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each token, hash of each token with its context, and where each document's tokens start (one more at the end)."""
+def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token (even), hash of each token with its context (odd), and where each document's tokens start (one more at the end)."""
     data, off = B.flat(col)
     data = B.LOWER[data]
     starts, ends, doc = B.words(data, off)
@@ -62,16 +67,18 @@ def tokens(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(one)
     before[1:] = one[:-1]
     before[at[:-1]] = END
-    return one, B.mix(before * np.uint64(0xD1342543DE82EF95) + one + np.uint64(0x9E3779B97F4A7C15)), at
+    two = B.mix(before * np.uint64(0xD1342543DE82EF95) + one + np.uint64(0x9E3779B97F4A7C15))
+    return one & ~np.uint64(1), two | np.uint64(1), at
 
 
-def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, their training counts, for each token the place of itself and of its pair, and the starts."""
-    one, two, at = tokens(table.column("text"))
+def _keys(texts: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their training counts, for each token the place of itself and of its pair, and the tokens of each document."""
+    parts = [tokens(x.column("text")) for x in B.blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))]
+    one, two, sizes = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), np.concatenate([np.diff(x[2]) for x in parts])
     keys, which = np.unique(np.r_[one, two], return_inverse=True)
-    train = np.repeat(~np.asarray(table.column("held").to_pylist(), bool), np.diff(at))
+    train = np.repeat(~held, sizes)
     counts = np.bincount(which, np.r_[train, train].astype(float), minlength=len(keys)).astype(np.uint32)
-    return keys, counts, which[: len(one)], which[len(one) :], at
+    return keys, counts, which[: len(one)], which[len(one) :], sizes
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,41 +87,81 @@ def _cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[start].astype(np.int64), np.r_[start, len(keys)]
 
 
-def _counted(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """A row for each batch: its ids, whether they are held out, tokens of each, and the training counts of each token and pair."""
-    n = max(1, -(-docs.count() // BATCH))
+def packed(docs: DataFrame, id_col: str, text: str, most: int) -> DataFrame:
+    """(batch, ids, held, lengths, raw): a row for about ``most`` bytes of text, compressed."""
+
+    def pack_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, batch = [], 0, TaskContext.get().partitionId() << 32
+
+        def row() -> pa.RecordBatch:
+            table = pa.Table.from_batches(waiting)
+            data, off = B.flat(table.column("text"))
+            raw = pa.Codec("zstd", 1).compress(data.tobytes(), asbytes=True)
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
+            cols = [pa.array([batch]), whole(table.column("id")), whole(table.column("held")), whole(pa.array(np.diff(off))), pa.array([raw], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["batch", "ids", "held", "lengths", "raw"])
+
+        for part in B.blocks(batches, "text", most):
+            waiting.append(part)
+            size += part.column("text").nbytes
+            if size >= most:
+                yield row()
+                waiting, size, batch = [], 0, batch + 1
+        if waiting:
+            yield row()
+
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    dealt = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.crc32(key.cast("binary")) % FOLDS == HELD).alias("held"), F.pmod(F.xxhash64(key), F.lit(n)).alias("batch"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.crc32(key.cast("binary")) % FOLDS == HELD).alias("held"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return written(rows.mapInArrow(pack_up, f"batch long, ids array<{kind}>, held array<boolean>, lengths array<long>, raw binary"), "lm-packed")
+
+
+def _unpacked(part: pa.RecordBatch | pa.Table, k: int) -> tuple[pa.Array, np.ndarray]:
+    """Texts and held of a packed row."""
+    sizes = np.array(part.column("lengths")[k].values, np.int64)
+    raw = pa.Codec("zstd").decompress(part.column("raw")[k].as_py(), int(sizes.sum()), asbytes=True)
+    texts = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64).tobytes()), pa.py_buffer(raw))
+    return texts, np.array(part.column("held")[k].values.to_pylist(), bool)
 
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys, counts, *_ = _keys(table)
-        bucket, cut = _cuts(keys, n)
-        parts = [(pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "batch": pa.array([key[0].as_py()] * len(parts), pa.int64()), "keys": pa.array([x[0] for x in parts], pa.binary()), "counts": pa.array([x[1] for x in parts], pa.binary())})
+
+def _counted(docs: DataFrame, id_col: str, text: str, most: int) -> tuple[DataFrame, int]:
+    """A row for each batch: its ids, whether they are held out, tokens of each, and the training counts of each token and pair; and the number of distinct training words."""
+    batches = packed(docs, id_col, text, most)
+    n = max(1, batches.count())
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(part.num_rows):
+                keys, counts, *_ = _keys(*_unpacked(part, k))
+                bucket, cut = _cuts(keys, n)
+                lists = [(pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                cols = [pa.array(bucket, pa.int64()), pa.array([part.column("batch")[k].as_py()] * len(lists), pa.int64()), *(pa.array([x[j] for x in lists], pa.binary()) for j in (0, 1))]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "batch", "keys", "counts"])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
         counts = [unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(which, np.concatenate(counts).astype(float)).astype(np.uint64)[which]
+        found, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, np.concatenate(counts).astype(float)).astype(np.uint64)
+        words = int(np.count_nonzero(total[found & np.uint64(1) == 0]))
+        total = total[which]
         ends = np.cumsum([len(x) for x in keys])
         parts = [pack(total[e - len(x) : e]) for x, e in zip(keys, ends, strict=True)]
-        return pa.table({"batch": table.column("batch").cast(pa.int64()), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int64()), "totals": pa.array(parts, pa.binary())})
+        seen = pa.array([words] + [0] * (len(parts) - 1), pa.int64())
+        return pa.table({"batch": table.column("batch").cast(pa.int64()), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int64()), "totals": pa.array(parts, pa.binary()), "words": seen})
 
     def align(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, one, two, at = _keys(table)
+        _, _, one, two, sizes = _keys(*_unpacked(table.combine_chunks().to_batches()[0], 0))
         order = np.argsort(answers.column("bucket").to_numpy())
         blobs = answers.column("totals").to_pylist()
         total = np.concatenate([unpack(blobs[k], np.uint64) for k in order])
-        return pa.table({"ids": pa.array([table.column("id").to_pylist()], pa.list_(kind)), "held": pa.array([table.column("held").to_pylist()], pa.list_(pa.bool_())), "sizes": pa.array([np.diff(at).tolist()], pa.list_(pa.int64())), "ones": pa.array([pack(total[one])], pa.binary()), "twos": pa.array([pack(total[two])], pa.binary())})
+        return pa.table({"ids": table.column("ids"), "held": table.column("held"), "sizes": pa.array([sizes], pa.list_(pa.int64())), "ones": pa.array([pack(total[one])], pa.binary()), "twos": pa.array([pack(total[two])], pa.binary())})
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(docs.schema[id_col].dataType)
-    asked = dealt.groupBy("batch").applyInArrow(ask, "bucket long, batch long, keys binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, totals binary")
+    asked = batches.select("batch", "held", "lengths", "raw").mapInArrow(ask, "bucket long, batch long, keys binary, counts binary")
+    answered = written(asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, totals binary, words long"), "lm-answers")
+    words = answered.agg(F.sum("words")).first()[0] or 0
     out = f"ids array<{docs.schema[id_col].dataType.simpleString()}>, held array<boolean>, sizes array<long>, ones binary, twos binary"
-    return dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(align, out)
+    return batches.groupBy("batch").cogroup(answered.drop("words").groupBy("batch")).applyInArrow(align, out), words
 
 
 def _read(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
@@ -134,9 +181,13 @@ def _level(ctx: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(np.maximum(ctx, 0.5))).astype(np.int64) + 1, LEVELS - 1)
 
 
-def _step(x: np.ndarray) -> np.ndarray:
-    """Eighths of an octave; -1 for none."""
-    return np.where(x > 0, np.round(8 * np.log2(np.maximum(x, 1))), -1).astype(np.int64)
+def _step(x: np.ndarray, width: int = 2) -> np.ndarray:
+    """Counts up to SAME are steps of their own, greater ones by parts of an octave."""
+    return np.where(x <= SAME, x, SAME + np.round(width * np.log2(np.maximum(x, SAME) / SAME))).astype(np.int64)
+
+
+def _value(step: np.ndarray, width: int = 2) -> np.ndarray:
+    return np.where(step <= SAME, step, SAME * 2.0 ** ((step - SAME) / width))
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,20 +196,17 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, sizes, _, one, two, ctx = _read(part, k)
             train = np.repeat(~held, sizes)
             one, two, ctx = one[train], two[train], ctx[train]
-            cell = np.stack([_level(ctx - 1), _step(two - 1), _step(ctx - 1), _step(one - 1)])
-            packed = ((cell[0] * 1024 + cell[1] + 1) * 1024 + cell[2] + 1) * 1024 + cell[3] + 1
-            found, n = np.unique(packed, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.float64))], names=["cell", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([float(len(one)), float((1 / one).sum())])], names=["cell", "n"])
+            found, n = np.unique((_step(two - 1) * 1024 + _step(ctx - 1)) * 1024 + _step(one - 1, 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, -1]), pa.array(np.r_[n, len(one)].astype(np.float64))], names=["cell", "n"])
 
 
 def fit(cells: dict[int, float], n_tokens: float, n_words: float) -> np.ndarray:
     """Weights (pair, word, any) of each level, by expectation-maximisation; levels without events take those of the level below."""
     key = np.array(sorted(cells), np.int64)
     n = np.array([cells[k] for k in key], float)
-    one, ctx, two, level = key % 1024 - 1, key // 1024 % 1024 - 1, key // 1024**2 % 1024 - 1, key // 1024**3
-    value = lambda s: np.where(s >= 0, 2.0 ** (s / 8), 0.0)
-    p = np.stack([np.minimum(value(two) / np.maximum(value(ctx), 1), 1), value(one) / max(n_tokens - 1, 1), np.full(len(key), 1 / (n_words + 1))])
+    one, ctx, two = _value(key % 1024, 1), _value(key // 1024 % 1024), _value(key // 1024**2)
+    level = _level(ctx)
+    p = np.stack([np.minimum(two / np.maximum(ctx, 1), 1), one / max(n_tokens - 1, 1), np.full(len(key), 1 / (n_words + 1))])
     weights = np.full((LEVELS, 3), 1 / 3)
     for _ in range(ROUNDS):
         share = p * weights[level].T
@@ -178,13 +226,16 @@ def fit(cells: dict[int, float], n_tokens: float, n_words: float) -> np.ndarray:
     return weights
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batch: int = BATCH) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (log10)."""
     kind = docs.schema[id_col].dataType
     schema = f"`{id_col}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    counted = written(_counted(docs, id_col, text), "lm-counts")
+    if id_col in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"):
+        raise ValueError(f"an id named {id_col} clashes with the result")
+    counted, n_words = _counted(docs, id_col, text, batch)
+    counted = written(counted, "lm-counts")
     cells = {r["cell"]: r["n"] for r in counted.mapInArrow(_histogram, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    n_tokens, n_words = round(cells.pop(-1, 0.0)), round(cells.pop(-2, 0.0))
+    n_tokens = round(cells.pop(-1, 0.0))
     weights = fit(cells, n_tokens, n_words)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

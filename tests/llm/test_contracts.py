@@ -240,9 +240,47 @@ def test_lm_better_than_base(spark):
     assert got and all(r["score"] > r["base_score"] for r in got)
 
 
+def brute_lm(docs: list[tuple]) -> list[float]:
+    """Scores by plain counts: the mixture's weights by the same expectation-maximisation over single events, each with one taken off its counts."""
+    toks = [[None, *WORD.findall((t or "").translate(LOWER)), None] for _, t in docs]
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in docs]
+    pairs = [p for t, h in zip(toks, held, strict=True) if not h for p in zip(t, t[1:], strict=False)]
+    two, one = Counter(pairs), Counter(w for _, w in pairs)
+    n, v = sum(one.values()), len(one)
+    level = lambda c: 0 if c < 1 else min(int(math.log2(c)) + 1, lm_score.LEVELS - 1)
+    events = Counter((two[p] - 1, one[p[0]] - 1, one[p[1]] - 1) for p in pairs)
+    w = [[1 / 3] * 3 for _ in range(lm_score.LEVELS)]
+    for _ in range(lm_score.ROUNDS):
+        got = [[0.0] * 3 for _ in w]
+        for (c2, c1, c0), k in events.items():
+            b = level(c1)
+            p = [w[b][0] * min(c2 / max(c1, 1), 1), w[b][1] * c0 / max(n - 1, 1), w[b][2] / (v + 1)]
+            for j in range(3):
+                got[b][j] += k * p[j] / sum(p)
+        w = [[x / sum(g) for x in g] if sum(g) else old for g, old in zip(got, w, strict=True)]
+    w = [[max(x, lm_score.FLOOR) for x in r] for r in w]
+    w = [[x / sum(r) for x in r] for r in w]
+    seen = {level(c1) for _, c1, _ in events}
+    for b in range(1, len(w)):
+        w[b] = w[b] if b in seen else w[b - 1]
+    w[0] = [0, *(x / sum(w[0][1:]) for x in w[0][1:])]
+    score = lambda a, x: math.log10(w[level(one[a])][0] * two[a, x] / max(one[a], 1) + w[level(one[a])][1] * one[x] / max(n, 1) + w[level(one[a])][2] / (v + 1))
+    return [sum(score(a, x) for a, x in zip(t, t[1:], strict=False)) for t in toks]
+
+
+def test_lm_score_brute(spark):
+    """Counts are small here, so that the histogram is exact; over several batches."""
+    rng = random.Random(6)
+    docs = [(d if d % 9 else None, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(12)))) for d in range(30)] + [(3, None), (3, "W1 w2"), (3, "W1 w2")]
+    got = lm_score.lm_score(documents(spark, docs), batch=200).collect()
+    want = sorted(((d, s) for (d, _), s in zip(docs, brute_lm(docs), strict=True)), key=lambda x: (str(x[0]), x[1]))
+    got = sorted(((r["doc_id"], r["score"]) for r in got), key=lambda x: (str(x[0]), x[1]))
+    assert len(got) == len(want) and all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+
+
 def test_lm_probabilities_sum():
     """After any context the estimates of all words and of an unseen one come to 1."""
     import numpy as np
 
-    w = lm_score.fit({((3 * 1024 + 9) * 1024 + 17) * 1024 + 33: 5.0}, 1000, 50)
+    w = lm_score.fit({(3 * 1024 + 9) * 1024 + 17: 5.0}, 1000, 50)
     assert np.allclose(w.sum(1), 1) and w[0, 0] == 0
