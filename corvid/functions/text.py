@@ -18,10 +18,23 @@ LANGUAGES = (
     ("markdown", ".md"), ("json", ".json"), ("yaml", ".yaml", ".yml"),
 )
 DOCS = ("markdown", "json", "yaml")
-SKIPPED_DIRS = ("node_modules", ".git", "target", "build", "dist", "__pycache__", ".venv", "vendor", ".cache", "zig-out")
-SKIPPED_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "pdf", "zip", "gz", "tar", "exe", "so", "dll", "o", "a", "class", "jar", "wasm", "lock", "ico", "woff", "woff2", "ttf", "mp3", "mp4", "bin")
-SECRET_NAMES = ("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials", "credentials.json", ".netrc", ".npmrc", ".pypirc", ".htpasswd", "secrets.yml", "secrets.yaml")
-SECRET_EXTENSIONS = ("pem", "key", "p12", "pfx", "jks", "keystore", "kdbx", "gpg", "asc")
+# Folders and suffixes that no corpus takes in, and names that tell secrets.
+SKIPPED_DIRS = (
+    ".git", ".claude", "node_modules", ".zig-cache", "zig-out", ".next", ".nuxt", ".svelte-kit", "dist", "build", ".build", ".output", "out",
+    "__pycache__", ".venv", "venv", ".env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "target", ".gradle", ".idea", ".vs", "vendor",
+    "Pods", ".dart_tool", ".pub-cache", "coverage", ".nyc_output", ".turbo", ".parcel-cache", ".cache", ".tmp", ".temp", ".DS_Store", "bundle",
+    ".bundle", ".swc", ".terraform", ".terragrunt-cache", ".serverless", "elm-stuff", ".stack-work", ".cabal-sandbox", ".cargo", "bower_components",
+)
+SKIPPED_EXTENSIONS = (
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "icns", "webp", "svg", "ttf", "otf", "woff", "woff2", "eot", "zip", "tar", "gz", "bz2", "xz", "7z", "rar",
+    "pdf", "doc", "docx", "xls", "xlsx", "pptx", "mp3", "mp4", "wav", "avi", "mov", "flv", "ogg", "webm", "exe", "dll", "so", "dylib", "o", "a", "lib",
+    "wasm", "pyc", "pyo", "class", "db", "sqlite", "sqlite3", "lock", "sum",
+)
+SECRET_NAMES = (
+    ".dev.vars", ".envrc", ".npmrc", ".pypirc", ".netrc", ".pgpass", ".htpasswd", "application.properties", "application.yml", "application.yaml",
+    "credentials.json", "service-account.json", "secrets.json", "secrets.yaml", "secrets.yml", "id_rsa", "id_ed25519",
+)
+SECRET_EXTENSIONS = ("pem", "key", "p12", "pfx", "jks", "crt", "cer", "der", "crl")
 
 
 def fold(c: Column) -> Column:
@@ -74,11 +87,16 @@ def is_safe(path: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    return path.rlike(r"(^|/)\.(ssh|gnupg|aws)/") | path.rlike(r"(^|/)\.env([._-][^/]*)?$") | basename(path).isin(*SECRET_NAMES) | fold(path).rlike(r"\.(" + "|".join(SECRET_EXTENSIONS) + r")$")
+    """Whether a path names a secret, whatever the case of its letters."""
+    name = fold(basename(path))
+    named = name.isin(*SECRET_NAMES) | name.endswith(".env") | name.rlike(r"^\.env[._-]") | name.rlike(r"\.(" + "|".join(SECRET_EXTENSIONS) + r")$")
+    return path.rlike(r"(^|/)\.(ssh|gnupg|aws)/") | named
 
 
 def is_skipped(path: Column) -> Column:
-    return fold(path).rlike(r"(^|/)(" + "|".join(map(re.escape, SKIPPED_DIRS)) + r")/") | fold(path).rlike(r"\.(" + "|".join(SKIPPED_EXTENSIONS) + r")$")
+    """Whether a step of the path is a skipped folder (case counts), or its suffix a skipped one (it does not)."""
+    folder = r"(^|/)(" + "|".join(map(re.escape, SKIPPED_DIRS)) + r")(/|$)"
+    return path.rlike(folder) | fold(path).rlike(r"\.(" + "|".join(SKIPPED_EXTENSIONS) + r")$")
 
 
 def is_test(path: Column) -> Column:
@@ -95,7 +113,8 @@ def is_vendored(path: Column) -> Column:
 
 
 def looks_binary(content: Column) -> Column:
-    return F.substring(content, 1, 512).contains("\0")
+    """Whether there is a NUL among the first 512 bytes (or characters, of a string)."""
+    return F.contains(F.substring(content, 1, 512).cast("binary"), F.lit(bytearray(1)))
 
 
 def is_comment_or_blank(line: Column, lang: Column) -> Column:
@@ -171,7 +190,7 @@ def checked_regex(pattern: str) -> str:
     if re.search(r"\(\?(?!:)", pattern):
         raise ValueError("groups with (? are not supported")
     re.compile(pattern.replace(r"\z", r"\Z"))
-    return pattern
+    return re.sub(r"\\(.)", lambda m: r"\x00" if m[1] == "0" else m[0], pattern, flags=re.S)  # the engine knows no \0
 
 
 def literal_runs(pattern: str) -> list[str] | None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvid.sources.storage import written
+
 
 def _last(log: DataFrame) -> DataFrame:
     v = F.struct("seq", *[c for c in log.columns if c not in ("path", "seq")])
@@ -13,16 +15,20 @@ def _last(log: DataFrame) -> DataFrame:
 
 
 def append(log: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fresh versions (without seq) after those there are, in order of timestamp and path. Numbers come from per-partition counts, not from one sorted task."""
+    """Fresh versions (without seq) after those there are, in order of timestamp, path and then all other columns.
+
+    Numbers come from the sizes of sorted ranges, not from one sorted task. The ranges are written before they are
+    counted, so that a lost executor cannot deal rows anew.
+    """
     start = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first()["s"]
-    rows = fresh.repartitionByRange("timestamp", "path").sortWithinPartitions("timestamp", "path").withColumns({"part": F.spark_partition_id(), "mono": F.monotonically_increasing_id()}).persist()
-    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())
-    offset, at = {}, start
-    for part, n in sizes:
-        offset[part], at = at, at + n
-    base = F.create_map(*[F.lit(x) for kv in offset.items() for x in kv]) if offset else F.lit(None).cast("map<int,bigint>")
-    first = rows.groupBy("part").agg(F.min("mono").alias("lo"))
-    new = rows.join(F.broadcast(first), "part").withColumn("seq", (base[F.col("part")] + F.col("mono") - F.col("lo") + 1).cast("long"))
+    order = ["timestamp", "path", *sorted(c for c in fresh.columns if c not in ("timestamp", "path"))]
+    rows = fresh.repartitionByRange("timestamp", "path").sortWithinPartitions(*order)
+    rows = written(rows.withColumns({"part": F.spark_partition_id(), "mono": F.monotonically_increasing_id()}), "versions")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("mono").alias("lo"))
+    # A row a range, of which there are as many as shuffle partitions.
+    before = F.sum("n").over(W.orderBy("part")) - F.col("n")
+    first = sizes.select("part", (before + F.lit(start) + 1 - F.col("lo")).alias("shift"))
+    new = rows.join(F.broadcast(first), "part").withColumn("seq", (F.col("mono") + F.col("shift")).cast("long"))
     return log.unionByName(new.select(*log.columns))
 
 

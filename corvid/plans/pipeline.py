@@ -112,15 +112,29 @@ class Pipeline:
         return [(name, df.count()) for name, df in self.log if df is not None]
 
 
-def run_steps(c: Corpus, steps: list[dict]) -> tuple[DataFrame, str | None]:
-    """Steps as dictionaries ({"op": "glob", ...}); at the first that fails, what there was before it, and why."""
+#: Steps that a caller may name.
+STEPS = frozenset("find glob search word filter deps symbol outline read sort limit".split())
+
+
+def run_steps(c: Corpus, steps: list[dict], checked: bool = False) -> tuple[DataFrame, str | None]:
+    """Steps as dictionaries ({"op": "glob", ...}); at the first that fails, what there was before it, and why.
+
+    A step fails when it is planned: unknown, with wrong arguments, or beyond a limit. With ``checked`` each is also run, a job
+    a step, so that one that only fails on the data is told as well and what was there before it is not lost.
+    """
     p = Pipeline(c)
     for k, step in enumerate(steps):
         args = {x: v for x, v in step.items() if x != "op"}
+        op = step.get("op")
+        if op not in STEPS:
+            return p.rows(), f"step {k + 1}: no step is named {op!r}"
         try:
-            p = getattr(p, step.get("op") or next(iter(args)))(**args)
+            done = getattr(p, op)(**args)
+            if checked:
+                done.rows().write.format("noop").mode("overwrite").save()
         except Exception as e:  # noqa: BLE001
             return p.rows(), f"step {k + 1}: {e}"
+        p = done
     return p.rows(), None
 
 

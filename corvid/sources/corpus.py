@@ -17,14 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def files_in(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The text files below a folder: no skipped folders or extensions, no secrets, nothing binary or too large, nothing that ignore rules exclude.
 
-    The rules read like those of version control: the last that fits decides, ``!`` takes back, ``/`` in front anchors, at the end means folders.
+    Files without a byte are not listed, as Spark's reader leaves them out. The rules read like those of version control: the last that fits decides, ``!`` takes back, ``/`` in front anchors, at the end means folders.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
     base = F.lit(root.rstrip("/") + "/")
     path = F.element_at(F.split(F.col("path"), base, 2), -1)
-    out = raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
-    out = out.where(T.is_safe(F.col("path")) & ~T.is_skipped(F.col("path")) & ~T.is_sensitive(F.col("path")) & ~T.looks_binary(F.col("content")))
-    return out.where(~ignored(F.col("path"), ignore or []))
+    out = raw.select(path.alias("path"), "content", F.col("modificationTime").alias("modified"))
+    out = out.where(T.is_safe(F.col("path")) & ~T.is_skipped(F.col("path")) & ~T.is_sensitive(F.col("path")) & ~ignored(F.col("path"), ignore or []))
+    # Binary files go by their bytes; what is not UTF-8 in the others is replaced, and aborts nothing.
+    return out.where(~T.looks_binary(F.col("content"))).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def ignored(path, rules: list[str]):  # noqa: ANN001, ANN201

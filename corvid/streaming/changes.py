@@ -37,8 +37,11 @@ def grants(requests: pd.DataFrame, holder: str | None, until: float, ttl: float)
     return out, holder, until
 
 
-def lock_grants(requests: DataFrame, ttl: float) -> DataFrame:
-    """path, agent, at, granted of a batch or a stream of lock requests (path, agent, at in seconds); one holder and a time are kept for each path."""
+def lock_grants(requests: DataFrame, ttl: float, late: str = "1 hour") -> DataFrame:
+    """path, agent, at, granted of a batch or a stream of lock requests (path, agent, at in seconds); one holder and a time are kept for each path.
+
+    A stream's state of a path goes once the watermark, ``late`` behind the latest request, has passed the end of its lock.
+    """
     schema = "path string, agent string, at double, granted boolean"
     if not requests.isStreaming:
 
@@ -49,10 +52,15 @@ def lock_grants(requests: DataFrame, ttl: float) -> DataFrame:
         return requests.groupBy("path").applyInPandas(whole, schema)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         holder, until = state.get if state.exists else (None, 0.0)
         part = pd.concat(list(parts)).sort_values(["at", "agent"], kind="stable")
         got, holder, until = grants(part, holder, until, ttl)
         state.update((holder, until))
+        state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs()) + 1)
         yield part.assign(granted=got)[["path", "agent", "at", "granted"]]
 
-    return requests.groupBy("path").applyInPandasWithState(step, schema, "holder string, until double", "append", GroupStateTimeout.NoTimeout)
+    requests = requests.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", late)
+    return requests.groupBy("path").applyInPandasWithState(step, schema, "holder string, until double", "append", GroupStateTimeout.EventTimeTimeout)

@@ -176,3 +176,66 @@ def test_batch_takes_all_words(spark, tmp_path):
                 want[q, d] = sum(part)
     assert got == pytest.approx(want, abs=2e-6) and {d for q, d in got if q == 8} == {2, 3}
     assert got[7, 0] > 2 * got[7, 1]
+
+
+def test_files_in_reads_what_is_text(spark, tmp_path):
+    """Binary and wrongly encoded files abort nothing; skipped folders, secrets, large and ignored files are left out."""
+    files = {
+        "a.py": b"x = 1\n", "bad.txt": b"caf\xe9 \xff ok\n", "nul.dat": b"ab\0cd", "late.txt": b"y" * 600 + b"\0", "img.PNG": b"png", "node_modules/m.js": b"m", "Out/kept.py": b"k",
+        "out/o.py": b"o", "conf/.envrc": b"s", "conf/Service-Account.json": b"s", "conf/prod.env": b"s", "big.txt": b"z" * 3000, "logs/x.log": b"l", "logs/keep.log": b"k", "empty.txt": b"",
+    }
+    for name, raw in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    got = {r["path"]: r["content"] for r in corpus.files_in(spark, f"file:{tmp_path}", ["*.log", "!keep.log"], 2000).collect()}
+    assert set(got) == {"a.py", "bad.txt", "late.txt", "Out/kept.py", "logs/keep.log"}
+    assert got["bad.txt"] == "caf� � ok\n" and got["a.py"] == "x = 1\n"
+
+
+def test_nul_in_patterns(spark):
+    one = spark.createDataFrame([("a\0b",), ("a0b",), ("a\\0b",)], "c string")
+    assert [r[0] for r in one.where(F.col("c").rlike(T.checked_regex(r"a\0b"))).collect()] == ["a\0b"]
+    assert [r[0] for r in one.where(F.col("c").rlike(T.checked_regex(r"a\\0b"))).collect()] == ["a\\0b"]
+
+
+def test_append_numbers_ties_once(spark):
+    """Numbers go on without gaps, and ties in time and path go by the other columns."""
+    schema = "path string, op string, size long, timestamp long"
+    log = spark.createDataFrame([("p", 1, "created", 1, 0)], "path string, seq long, op string, size long, timestamp long")
+    fresh = [("p", "modified", k % 7, k // 20) for k in range(200)] + [("q", "created", 0, 3)] * 3
+    got = versions.append(log, spark.createDataFrame(fresh, schema).repartition(7)).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(1, 205))
+    assert [(r["timestamp"], r["path"], r["op"], r["size"]) for r in got[1:]] == sorted((t, p, o, s) for p, o, s, t in fresh)
+
+
+def test_run_steps(spark, files, lines):
+    from corvid.plans.pipeline import Corpus, bundle, run_steps
+
+    c = Corpus(files)
+    rows, why = run_steps(c, [{"op": "glob", "pattern": "**/*.py"}, {"op": "search", "query": "helper"}, {"op": "limit", "n": 3}], checked=True)
+    assert why is None and rows.count() == 3
+    for bad in ({"op": "_with", "name": "x", "paths": None}, {"op": "counts"}, {"op": "limit", "n": 0}, {"op": "glob"}, {}):
+        rows, why = run_steps(c, [{"op": "glob", "pattern": "src/*"}, bad])
+        assert why.startswith("step 2: ") and paths(rows) == ["src/app.py"]
+    assert [why for _, why in bundle(c, [[{"op": "glob", "pattern": "*"}], [{"op": "nothing"}]])][0] is None
+    with pytest.raises(ValueError, match="twenty"):
+        bundle(c, [])
+
+
+def test_index_parts(spark, files, lines, tmp_path):
+    """Stored postings are read again; files taken out and put back; candidates by covering parts; previews; hashes."""
+    p = index.word_postings(lines)
+    index.save(p, f"{tmp_path}/words", "word")
+    stored = spark.read.parquet(f"{tmp_path}/words")
+    assert paths(index.word_lookup(stored, "helper")) == paths(index.word_lookup(p, "helper"))
+    gone = spark.createDataFrame([("util.py",)], "path string")
+    assert "util.py" not in paths(index.without(stored, gone))
+    put_back = index.replaced(stored, gone, p.where("path = 'util.py'")).select(*p.columns)
+    assert sorted(map(tuple, put_back.collect())) == sorted(map(tuple, p.collect()))
+    grams = index.sparse_ngrams(files, index.pair_frequencies(files.select("path", T.fold(F.col("content")).alias("content"))))
+    assert {"util.py"} <= set(paths(index.covering_candidates(grams, "def helper(x):\n    return parseHTTPResponse(x)")))
+    edits = spark.createDataFrame([("util.py", "replace", 1, 1, "def other(x):")], "path string, op string, first int, last int, text string")
+    new = edit.apply_edits(lines, edits)
+    assert [(r["path"], r["line_num"], r["old"], r["new"]) for r in edit.preview(lines, new).collect()] == [("util.py", 1, "def helper(x):", "def other(x):")]
+    h = {r["path"]: r["hash"] for r in edit.content_hash(lines).collect()}
+    assert edit.read_range(lines, "util.py", if_hash=h["util.py"]).count() == 0 and edit.read_range(lines, "util.py", if_hash=1).count() == 3
