@@ -193,9 +193,38 @@ def checked_regex(pattern: str) -> str:
     return re.sub(r"\\(.)", lambda m: r"\x00" if m[1] == "0" else m[0], pattern, flags=re.S)  # the engine knows no \0
 
 
+def branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside groups and classes."""
+    out, depth, i, inside = [""], 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        step = pattern[i : i + 2] if c == "\\" else c
+        if not inside:
+            depth += (c == "(") - (c == ")")
+        if c == "|" and not depth and not inside:
+            out.append("")
+        else:
+            out[-1] += step
+        # A bracket right after the opening one is a member of the class.
+        if c == "[" and not inside:
+            inside, first = True, len(re.match(r"\[\^?\]?", pattern[i:])[0])
+            out[-1] += pattern[i + 1 : i + first]
+            i += first - 1
+        elif c == "]":
+            inside = False
+        i += len(step)
+    return out
+
+
+def literal_groups(pattern: str) -> list[list[str]] | None:
+    """For each alternative the literals that its matches hold; None if one has none, so that nothing can be ruled out."""
+    groups = [literal_runs(b) for b in branches(pattern)]
+    return None if any(g is None for g in groups) else groups
+
+
 def literal_runs(pattern: str) -> list[str] | None:
     """Literals of three characters or more that every match holds; None if that cannot be told. Groups, alternatives and optional parts give none."""
-    if "|" in pattern or "(?" in pattern:
+    if len(branches(pattern)) > 1 or "(?" in pattern:
         return None
     runs, now, i, depth = [], "", 0, 0
     while i <= len(pattern):

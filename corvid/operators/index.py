@@ -67,12 +67,24 @@ def trigram_candidates(grams: DataFrame, query: str) -> DataFrame | None:
 
 
 def regex_candidates(grams: DataFrame, pattern: str) -> DataFrame | None:
-    """Paths that may match: those with every gram of the literals that a match must hold."""
-    runs = T.literal_runs(T.checked_regex(pattern))
-    want = sorted({g for r in runs or [] for g in grams_of(r)})
-    if not want:
+    """Paths that may match: those with every gram of the literals that a match of one of the alternatives must hold."""
+    groups = T.literal_groups(T.checked_regex(pattern))
+    want = [sorted({g for r in runs for g in grams_of(r)}) for runs in groups or []]
+    if not want or not all(want):
         return None
-    return grams.where(F.col("gram").isin(want)).groupBy("path").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(want)).select("path")
+    every = sorted({g for w in want for g in w})
+    has = [F.count_if(F.col("gram").isin(w)) == len(w) for w in want]
+    fits = has[0]
+    for h in has[1:]:
+        fits = fits | h
+    hits = grams.where(F.col("gram").isin(every)).select("path", "gram").distinct()
+    return hits.groupBy("path").agg(fits.alias("fits")).where("fits").select("path")
+
+
+def size(postings: DataFrame, key: str) -> DataFrame:
+    """keys, entries and key_bytes of an index: distinct keys, rows, and bytes of the distinct keys."""
+    each = postings.groupBy(key).agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.octet_length(key).cast("long")), F.lit(0)).alias("key_bytes"))
 
 
 def pair_frequencies(files: DataFrame) -> DataFrame:

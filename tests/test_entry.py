@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from corvid.plans import registry
+from corvid.plans import cases as registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -239,3 +239,11 @@ def test_index_parts(spark, files, lines, tmp_path):
     assert [(r["path"], r["line_num"], r["old"], r["new"]) for r in edit.preview(lines, new).collect()] == [("util.py", 1, "def helper(x):", "def other(x):")]
     h = {r["path"]: r["hash"] for r in edit.content_hash(lines).collect()}
     assert edit.read_range(lines, "util.py", if_hash=h["util.py"]).count() == 0 and edit.read_range(lines, "util.py", if_hash=1).count() == 3
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [("abc|defg", [["abc"], ["defg"]]), (r"ab\|c|xyz", [["ab|c"], ["xyz"]]), ("[|]abc", [["abc"]]), ("[]|]abc|def", [["abc"], ["def"]]), ("abc|d", None), ("(a|b)cde", [["cde"]]), ("abc|(d|e)fgh", [["abc"], ["fgh"]]), ("", None)],
+)
+def test_literal_groups(pattern, want):
+    assert T.literal_groups(pattern) == want
