@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions import text as T
@@ -17,12 +19,16 @@ def tokens(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line_num", F.explode(T.words(F.col("line"))).alias("token")).where(F.length("token") >= 2)
 
 
+def line_words(line: Column) -> Column:
+    """Distinct lower-cased words of a line and parts of its compound ones; only the few compound tokens are taken apart."""
+    long = lambda c: F.filter(T.words(c), lambda w: F.length(w) >= 2)
+    compound = F.filter(T.words(line), lambda w: (F.length(w) >= 4) & w.rlike("[A-Z_]"))
+    return F.array_distinct(F.concat(long(T.fold(line)), F.flatten(F.transform(compound, T.subtokens))))
+
+
 def word_postings(lines: DataFrame) -> DataFrame:
-    """Distinct (word, path, line_num): lower-cased words and the parts of compound ones."""
-    t = tokens(lines)
-    # A row a token and line first, so that repeats do not reach the shuffle as often.
-    every = t.select("path", "line_num", F.explode(F.concat(F.array(F.lower("token")), T.subtokens(F.col("token")))).alias("word"))
-    return every.select("word", "path", "line_num").distinct()
+    """Distinct (word, path, line_num): lower-cased words and the parts of compound ones. A line is one row, so nothing is exchanged."""
+    return lines.select("path", "line_num", F.explode(line_words(F.col("line"))).alias("word")).select("word", "path", "line_num")
 
 
 def doc_lengths(lines: DataFrame) -> DataFrame:
@@ -46,11 +52,31 @@ def trigrams(files: DataFrame) -> DataFrame:
 
     Grams are three folded characters, not all white space.
     """
-    chars = files.select("path", F.split(T.fold(F.col("content")), "").alias("c"))
-    each = chars.select("path", F.posexplode(F.arrays_zip(F.col("c").alias("a"), F.slice("c", 2, 1 << 30).alias("b"), F.slice("c", 3, 1 << 30).alias("d"), F.slice("c", 4, 1 << 30).alias("e"))).alias("i", "z"))
-    each = each.where("z.b is not null and z.d is not null and z.b != '' and z.d != ''").select("path", "i", F.concat("z.a", "z.b", "z.d").alias("gram"), F.when(F.col("z.e").isNull() | (F.col("z.e") == ""), 0).otherwise(F.call_function("shiftleft", F.lit(1), (F.ascii("z.e") % 8).cast("int"))).alias("n"))
-    each = each.where(~F.col("gram").rlike(r"^\s+$"))
-    return each.groupBy("gram", "path").agg(F.bit_or(F.col("n")).alias("next_mask"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("i") % 8)).alias("loc_mask"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for path, text in zip(part.column("path"), part.column("content").to_pylist(), strict=True):
+                gram, following, at = _grams(text or "")
+                yield pa.RecordBatch.from_arrays([gram, pa.array([path.as_py()] * len(gram), pa.string()), pa.array(following), pa.array(at)], names=["gram", "path", "next_mask", "loc_mask"])
+
+    return files.select("path", T.fold(F.col("content")).alias("content")).mapInArrow(run, "gram string, path string, next_mask int, loc_mask int")
+
+
+def _grams(text: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct grams of one file with their masks."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        return pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    key = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    blank = np.isin(c, (9, 10, 11, 12, 13, 32))
+    at = np.flatnonzero(~(blank[:-2] & blank[1:-1] & blank[2:]))
+    following = np.r_[1 << (c[3:] % 8), 0][at]
+    at = at[order := np.argsort(key[at], kind="stable")]
+    new = np.flatnonzero(np.r_[True, np.diff(key[at]) != 0]) if len(at) else at
+    masks = [np.bitwise_or.reduceat(m, new).astype(np.int32) if len(new) else np.zeros(0, np.int32) for m in (following[order], 1 << (at % 8))]
+    three = np.stack([c[at[new]], c[at[new] + 1], c[at[new] + 2]], 1).astype(np.uint32)
+    grams = ["".join(map(chr, x)) for x in three.tolist()] if not c.all() else three.view("<U3").ravel()
+    return pa.array(grams, pa.string()), *masks
 
 
 def grams_of(query: str) -> list[str]:

@@ -99,13 +99,11 @@ def path_factor(terms: list[str]) -> Column:
 def bm25_scores(lines: DataFrame, queries: DataFrame, factor: bool = True) -> DataFrame:
     """BM25+ of each (query_id, path) for queries (query_id, terms array): score, best_line.
 
-    Postings are restricted to the terms asked for before they are made distinct; tf counts lines, document lengths count words.
+    Postings are restricted to the terms asked for before they are exchanged; tf counts lines, document lengths count words.
     """
     asked = queries.select("query_id", "terms", F.explode("terms").alias("word"))
     wanted = asked.select("word").distinct()
-    t = index.tokens(lines)
-    each = t.select("path", "line_num", F.explode(F.concat(F.array(F.lower("token")), T.subtokens(F.col("token")))).alias("word"))
-    hits = each.join(wanted, "word", "left_semi").distinct()
+    hits = index.word_postings(lines).join(wanted, "word", "left_semi")
     tf = hits.groupBy("word", "path").agg(F.count("*").alias("tf"), F.min("line_num").alias("first"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     length = index.doc_lengths(lines)

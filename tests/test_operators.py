@@ -247,3 +247,17 @@ def test_index_parts(spark, files, lines, tmp_path):
 )
 def test_literal_groups(pattern, want):
     assert T.literal_groups(pattern) == want
+
+
+def test_trigrams_brute(spark):
+    """Grams and both masks against a plain loop, with NUL, white space, short texts and characters outside the first plane."""
+    texts = ["", "ab", "abc", "a b  \t\n c", "AbCabcabc", "x\0y\0\0z", "\U0001f600é中\U0001f600é中!", "abab" * 40]
+    got = {(r["gram"], r["path"]): (r["next_mask"], r["loc_mask"]) for r in index.trigrams(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, content string")).collect()}
+    want: dict = {}
+    for k, t in enumerate(texts):
+        t = t.lower()
+        for i in range(len(t) - 2):
+            if t[i : i + 3].strip(" \t\n\x0b\x0c\r"):
+                a, b = want.get((t[i : i + 3], str(k)), (0, 0))
+                want[t[i : i + 3], str(k)] = a | (1 << ord(t[i + 3]) % 8 if i + 3 < len(t) else 0), b | 1 << i % 8
+    assert got == want
