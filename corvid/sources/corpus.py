@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer bytes may be one row group, which one task reads; above it there are enough of them.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt to all cores; a table of SPREAD_BYTES or more stays as it is read, so that at most so much is exchanged."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < SPREAD_BYTES else df
+
+
 def files_in(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The text files below a folder: no skipped folders or extensions, no secrets, nothing binary or too large, nothing that ignore rules exclude.
 
@@ -50,7 +60,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files: source/lang/doc_<id>, with suffixes that take turns."""
     suffix = F.element_at(F.array(*[F.lit(x) for x in (".md", ".py", ".json", ".ts")]), (F.col("doc_id") % 4 + 1).cast("int"))
     path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), suffix)
-    return table(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select(path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 TEXT_FILES_SQL = """files AS (SELECT source || '/' || lang || '/doc_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.json' ELSE '.ts' END AS path, coalesce(text, '') AS content FROM documents)"""
