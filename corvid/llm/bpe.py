@@ -8,10 +8,11 @@ kept with its ids, their digits and the decoded bytes (the cache holds ``CACHE``
 anew when full). What lies between the cores, the join, is encoded anew from one core to the next;
 a chunk without such a place falls into the join whole, so that a join grows until it agrees on
 both sides, over a whole text at worst. Special tokens that stand in a text split it first, as the
-tokenizers library does, and give their own ids.
+tokenizers library does, and give their own ids; the parts between them are cut into chunks like any text.
 
-Null counts as empty: no ids, an empty decoded text. Repeated rows are encoded each for itself
-(out of the cache); an empty table gives an empty result.
+Null counts as empty: no ids, an empty decoded text. Null ids are kept. Repeated rows are encoded each for itself
+(out of the cache); a very long text is a block of its own; an empty table gives an empty result. No column but
+the id and the text is looked at, whatever its name.
 """
 
 from __future__ import annotations
@@ -130,8 +131,11 @@ def encode_block(col: pa.Array, c: Codec) -> Iterator[list[tuple[int, str, bytes
         if any(m in raw for m in marks):
             got = []
             for part in c.split.split(raw.decode()):
-                i = c.special.get(part)
-                got.append(c.piece(part.encode(), False) if i is None else (1, str(i), part.encode(), array("i", [i])))
+                if (i := c.special.get(part)) is None:
+                    own = part.encode()
+                    got += c.text(own, cores(np.frombuffer(own, np.uint8), np.array([0, len(own)]))[0])
+                else:
+                    got.append((1, str(i), part.encode(), array("i", [i])))
             yield got
         else:
             yield c.text(raw, cuts)
