@@ -11,6 +11,7 @@ words that cover up to 0.3).
 
 Null and empty texts have no words, and so fail the base rule. Repeated rows are judged each for
 itself; an empty table gives an empty result. Memory is bounded by a block (see blocks.py).
+A null id is kept. A very long text is a block of its own. No column but the id and the text is looked at, whatever its name.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ what reaches the driver is bounded.
 
 Spans are in code points, end exclusive. Null and empty texts have none. Repeated rows are scanned
 each for itself; an empty table gives an empty result.
+A null id is kept. A very long text is a block of its own. No column but the id and the text is looked at, whatever its name.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ A word is a run ``[^\\x20\\x09-\\x0D]+``; its first piece is looked up with the
 byte-level vocabularies put before words, the further pieces without it. Only distinct words of a
 block are read. Null and empty texts have no words and no tokens; repeated rows count each for
 itself; an empty table gives an empty result.
+A null id is kept. A very long text is a block of its own. No column but the id and the text is looked at, whatever its name.
 """
 
 from __future__ import annotations
