@@ -13,13 +13,16 @@ outweigh all that the group shares, and its links would be lost.
 3. A key's members are linked to its head, that which meets most others in all its keys. Every such
    pair is verified on the whole texts, and links of ``SIMILARITY`` or more make classes.
 4. Similarity is not transitive: two members may be alike and not like their head. Such a pair must
-   share what sets it apart from the head. Where x is unlike the head t, and W is a text's weight,
-   x and y can only be alike if their changes against t agree in more than half of |changes of y| plus
-   a term in W(t) - W(y); so they agree in one of the first changes of y, in any fixed order, that
-   leave less than this behind. The order is by how many members have a change, rare ones first.
-   Members of keys that are still in several classes are grouped anew by (head, such a change), each group
-   gets a head of its own, and so on with the groups' next heads for as long as a round links something.
-   Groups of up to ``SMALL`` members are verified in full. Pairs grow with the members, not with their square.
+   share what sets it apart from the head t. With W(x) the weight of a text, D(x) the weight of its
+   changes against t, c = (1 - s) / (1 + s) for similarity s, and u(x) = D(x) - c W(x), x and y are alike
+   only if their changes agree in (u(x) + u(y)) / 2 or more. In an order of all changes, rare ones first,
+   the first change that they share leaves this much, itself included, to both of them. So a member is
+   grouped by those of its changes alone that leave enough for some other that has the change too.
+   Members of keys that are still in several classes are grouped anew by such changes. Groups of up to
+   ``SMALL`` members are verified in full; larger ones get a head of their own, against which all are
+   verified, and those still in several classes are split by their changes against that head in turn,
+   until no group is left. A group loses its head each time, so this ends, and no pair that shares a key
+   is left out: it is verified, or in one class already, or ruled out by what it can share.
 
 Classes are connected components, by rounds of label exchange over what is newly linked, written to the
 shared folder. A pair at similarity 0.8 shares one of the 24 keys with a chance of about 0.999, at 0.9 of almost 1.
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.llm import blocks as B
@@ -204,8 +207,8 @@ def similarity(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     return np.where(either > 0, both / np.maximum(either, 1e-30), 1.0)
 
 
-def changes(a: pa.Array, b: pa.Array, idf: np.ndarray, least: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """What sets b apart from a in each pair of texts: names of the changes, their sizes; the size that texts like b and unlike a share with b at least (see the top); whether b is unlike a."""
+def changes(a: pa.Array, b: pa.Array, idf: np.ndarray, least: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """What sets b apart from a in each pair of texts: names of the changes, their sizes; D and u of b (see the top); whether b is unlike a."""
     n = len(a)
     d, k, wa, wb = _both(a, b, idf)
     size_a, size_b, both = (np.bincount(d, x, minlength=n) for x in (wa, wb, np.minimum(wa, wb)))
@@ -214,9 +217,9 @@ def changes(a: pa.Array, b: pa.Array, idf: np.ndarray, least: float) -> tuple[li
     d, size = d[some], np.abs(diff[some])
     name = B.mix(k[some] * np.uint64(2) + (diff[some] > 0).astype(np.uint64)).view(np.int64)
     total = np.bincount(d, size, minlength=n)
-    needed = (total + (1 - least) / (1 + least) * (size_a - size_b)) / 2 - 1e-6 * np.maximum(total, 1.0)
+    u = total - (1 - least) / (1 + least) * size_b
     cut = np.cumsum(np.bincount(d, minlength=n))[:-1]
-    return np.split(name, cut), np.split(size.astype(np.float32), cut), needed, both < least * (size_a + size_b - both)
+    return np.split(name, cut), np.split(size.astype(np.float32), cut), total, u, both < least * (size_a + size_b - both)
 
 
 def components(links: DataFrame, name: str = "near-cc") -> DataFrame:
@@ -258,8 +261,8 @@ class Linker:
         """rows with the class of their key, which is the key itself until it is linked."""
         return rows.join(self.label.select(F.col("id").alias(key), "class"), key, "left").withColumn("class", F.coalesce("class", key))
 
-    def verify(self, pairs: DataFrame) -> bool:
-        """Verifies the pairs (x, y) that have not been; whether this joins classes."""
+    def verify(self, pairs: DataFrame) -> None:
+        """Verifies the pairs (x, y) that have not been, and joins the classes of those alike."""
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -276,49 +279,73 @@ class Linker:
         ends = self.classed(self.classed(links, "a").withColumnRenamed("class", "ca"), "b")
         ends = written(ends.where("ca != class").select(F.col("ca").alias("a"), F.col("class").alias("b")).distinct(), "near-ends")
         if not ends.limit(1).count():
-            return False
+            return
         # Only what is newly joined goes through the rounds: an edge for two classes, not for two texts.
         up = components(ends).withColumnRenamed("class", "up")
         new = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct().join(self.label, "id", "left_anti")
         all_ = self.label.unionByName(new.withColumn("class", F.col("id")))
         all_ = all_.join(up.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("up", "class").alias("class"))
         self.label = written(all_, "near-label")
-        return True
 
-    def still_mixed(self, rows: DataFrame, group: list[str], key: str, *more: Column) -> DataFrame:
-        """rows, with class and n (rows of the group), of the groups that hold several classes; more: conditions on the group."""
-        rows = self.classed(rows, key)
-        hold = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), *more)
-        hold = hold.where("lo != hi").drop("lo", "hi")
-        return rows.join(hold, group)
+    def still_mixed(self, rows: DataFrame) -> DataFrame:
+        """rows (g, b, ...), with class and n (rows of the group), of the groups g whose members b are of several classes."""
+        rows = self.classed(rows, "b")
+        hold = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+        return rows.join(hold.where("lo != hi").select("g", "n"), "g")
 
 
-def _small(rows: DataFrame, group: list[str], key: str, either: str | None = None) -> DataFrame:
-    """All pairs (x, y) of different classes in groups of at most SMALL rows."""
+#: Whether members x and y, of different classes, can be alike by what is left to both from the change of their group on.
+_MAY = "cx != cy AND 2 * least(lx, ly) >= ux + uy"
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """All pairs (x, y) in groups of at most SMALL rows that may be alike."""
     few = rows.where(F.col("n") <= SMALL)
-    flag = F.col(either) if either else F.lit(True)
-    one, two = (few.select(*group, F.col(key).alias(k), F.col("class").alias(f"c{k}"), flag.alias(f"f{k}")) for k in "xy")
-    return one.join(two, group).where("x < y AND cx != cy AND (fx OR fy)").select("x", "y")
+    one, two = (few.select("g", F.col("b").alias(k), F.col("class").alias(f"c{k}"), F.col("left").alias(f"l{k}"), F.col("u").alias(f"u{k}")) for k in "xy")
+    return one.join(two, "g").where(f"x < y AND {_MAY}").select("x", "y")
+
 
+def _open(rows: DataFrame, group: list[str], a: str, order: list[str]) -> DataFrame:
+    """rows, with n, of the groups that may hold links between classes. Of groups of the same members and head a, one will do: the first in order, which leaves most."""
+    # Of two members unlike the head both have the change among their first (p); those that have it further on meet members like the head alone.
+    rows = rows.drop("n")
+    ids, one = [F.xxhash64("b"), F.xxhash64("b", F.lit(1))], F.lit(1)
+    said = {"n": (F.count, one), "lo": (F.min, F.col("class")), "hi": (F.max, F.col("class")), "s": (F.bit_xor, ids[0]), "t": (F.bit_xor, ids[1])}
+    both = [f(x).alias(f"{k}_all") for k, (f, x) in said.items()] + [f(F.when(F.col("p"), x)).alias(f"{k}_p") for k, (f, x) in said.items()]
+    hold = rows.groupBy(*dict.fromkeys([*group, a, *order])).agg(F.max(~F.col("unlike")).alias("kin"), *both)
+    hold = hold.select(*dict.fromkeys([*group, a, *order]), "kin", *[F.when(F.col("kin"), F.col(f"{k}_all")).otherwise(F.col(f"{k}_p")).alias(k) for k in said]).where("lo != hi")
+    hold = hold.groupBy(F.col(a).alias("of"), "n", "s", "t").agg(F.min_by(F.struct(*group, "kin"), F.struct(*order)).alias("one"))
+    return rows.join(hold.select(*[f"one.{x}" for x in group], "one.kin", "n"), group).where("p OR kin").drop("kin")
 
-def _by_changes(linker: Linker, pairs: DataFrame) -> DataFrame:
-    """(a, e, b, p): changes e of b against its head a that others have too; p: whether it is one of the first."""
+
+def _by_changes(linker: Linker, rows: DataFrame) -> DataFrame:
+    """(g, b, class, total, u, left, n): groups by change of the members b of groups, of rows (g, a, b), against their heads a, as far as they may hold links between classes; total: D; left: the size of the changes from that of the group on."""
     shares, least = linker.shares, linker.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pair_blocks(batches):
-            names, sizes, needed, unlike = changes(part.column("ta"), part.column("tb"), shares.value, least)
-            cols = [pa.array(names, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.float32())), pa.array(needed), pa.array(unlike)]
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *cols], names=["a", "b", "names", "sizes", "needed", "unlike"])
-
-    found = linker.with_texts(pairs).mapInArrow(run, "a binary, b binary, names array<bigint>, sizes array<float>, needed double, unlike boolean")
-    found = written(found, "near-changes").select("a", "b", "needed", "unlike", F.explode(F.arrays_zip(F.col("names").alias("e"), F.col("sizes").alias("size"))).alias("c"))
-    found = found.select("a", "b", "needed", "unlike", "c.e", "c.size")
-    shared = found.groupBy("a", "e").agg(F.count("*").alias("df")).where("df > 1")
+            names, sizes, *more = changes(part.column("ta"), part.column("tb"), shares.value, least)
+            cols = [pa.array(names, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.float32())), *map(pa.array, more)]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *cols], names=["a", "b", "names", "sizes", "total", "u", "unlike"])
+
+    pairs = written(rows.select("a", "b").distinct(), "near-against")
+    found = linker.with_texts(pairs).mapInArrow(run, "a binary, b binary, names array<bigint>, sizes array<float>, total double, u double, unlike boolean")
+    found = linker.classed(written(found, "near-changes"), "b").select("a", "b", "class", "total", "u", "unlike", F.explode(F.arrays_zip(F.col("names").alias("e"), F.col("sizes").alias("size"))).alias("c"))
+    found = found.select("a", "b", "class", "total", "u", "unlike", "c.e", "c.size")
+    # Changes within one class do not count for links between classes.
+    shared = found.groupBy("a", "e").agg(F.count("*").alias("df"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("u").alias("low"), F.min(F.when(F.col("unlike"), F.col("u"))).alias("low_unlike"))
+    shared = shared.where("lo != hi").select("a", "e", "df", "low", F.coalesce("low_unlike", "low").alias("low_unlike"))
     # From the most frequent change on: what comes before a change in the order of rising frequency is not needed for what is left from it on.
-    left = F.sum("size").over(Window.partitionBy("a", "b").orderBy(F.desc("df"), F.desc("e")))
-    found = found.join(shared, ["a", "e"]).withColumn("p", left >= F.col("needed"))
-    return written(found.where("p OR unlike").select("a", "e", "b", "p"), "near-changed")
+    order = Window.partitionBy("a", "b").orderBy(F.desc("df"), F.desc("e"))
+    found = found.join(shared, ["a", "e"]).withColumn("left", F.sum("size").over(order) + 1e-6 * F.greatest("total", F.lit(1.0)))
+    found = found.withColumn("p", F.expr("2 * left >= u + low_unlike"))
+    # A partner y of b shares D(y) = u(y) + c W(y) at most, where W(y) <= W(b) / least.
+    further = F.col("unlike") & (2 * F.col("left") >= F.col("u") + F.col("low")) & (F.col("left") >= F.col("u") - (F.col("total") - F.col("u")) / least)
+    found = written(found.where(F.col("p") | further).drop("size", "low", "low_unlike"), "near-changed")
+    found = _open(found, ["a", "e"], "a", ["df", "e"]).drop("n")
+    rows = rows.join(found, ["a", "b"]).withColumn("g", F.xxhash64("g", "e"))
+    rows = _open(written(rows, "near-split"), ["g"], "a", ["df", "e", "g"])
+    return written(rows.select("g", "b", "class", "total", "u", "left", "n"), "near-groups")
 
 
 def _link(signed: DataFrame, linker: Linker) -> DataFrame:
@@ -332,22 +359,23 @@ def _link(signed: DataFrame, linker: Linker) -> DataFrame:
     linker.texts = written(linker.texts.join(sized(written(rank.select("key"), "near-wanted"), 64), "key", "left_semi"), "near-texts")
     linker.verify(where.where("key != head").select(F.col("head").alias("x"), F.col("key").alias("y")))
 
-    mixed = written(linker.still_mixed(where, ["band"], "key"), "near-mixed")
-    against = mixed.where((F.col("n") > SMALL) & (F.col("key") != F.col("head"))).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    has, group = F.max("p").alias("has"), ["a", "e"]
-    rows, pairs = _by_changes(linker, written(against, "near-against")), _small(mixed, ["band"], "key")
-    while True:
-        # Groups of a head and a change, in which a member that has the change among its first is the next head.
-        rows = written(linker.still_mixed(rows.select("a", "e", "b", "p"), group, "b", has).where("has"), "near-groups")
-        rank = rows.groupBy("b").agg(F.count("*").alias("rank"))
-        order = F.struct("rank", -F.hash("b"), "b")
-        heads = rows.where("p").join(rank, "b").groupBy(*group).agg(F.max_by(F.struct(F.col("b").alias("head"), F.col("class").alias("of")), order).alias("h"))
-        rows = written(rows.join(heads.select(*group, "h.head", "h.of"), group), "near-group-heads")
-        met = rows.where("class != of").select(F.col("head").alias("x"), F.col("b").alias("y"))
-        pairs = pairs.unionByName(met).unionByName(_small(rows, group, "b", "p"))
-        if not linker.verify(pairs):
-            return linker.label
-        rows, pairs = rows.where((F.col("b") != F.col("head")) & (F.col("n") > SMALL)), pairs.limit(0)
+    members = where.select(F.col("band").alias("g"), F.col("key").alias("b"), "head")
+    mixed = linker.still_mixed(members).withColumns({"left": F.lit(0.0), "u": F.lit(0.0)})
+    linker.verify(_small(written(mixed, "near-mixed")))
+    # Keys of the same head are one group from here on.
+    rows = linker.still_mixed(members).where((F.col("n") > SMALL) & (F.col("b") != F.col("head")))
+    rows = written(rows.select(F.xxhash64("head").alias("g"), F.col("head").alias("a"), "b").distinct(), "near-members")
+    while rows.limit(1).count():
+        rows = _by_changes(linker, rows)
+        # The member that is nearest to the former head is the next one.
+        head = F.struct(F.col("b").alias("head"), F.col("class").alias("cx"), F.col("left").alias("lx"), F.col("u").alias("ux"))
+        heads = rows.where(F.col("n") > SMALL).groupBy("g").agg(F.min_by(head, F.struct("total", "b")).alias("h")).select("g", "h.*")
+        large = written(rows.withColumnsRenamed({"class": "cy", "left": "ly", "u": "uy"}).join(heads, "g"), "near-group-heads")
+        met = large.where(_MAY).select(F.col("head").alias("x"), F.col("b").alias("y"))
+        linker.verify(_small(rows).unionByName(met))
+        rows = linker.still_mixed(large.where("b != head").select("g", F.col("head").alias("a"), "b"))
+        rows = written(rows.select("g", "a", "b"), "near-members")
+    return linker.label
 
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:

@@ -95,6 +95,39 @@ def test_links_between_members_unlike_their_head(spark):
     assert got == brute_classes(docs)
 
 
+def linked(spark, docs: dict[int, str], keys: dict[int, list[int]]) -> dict[int, int]:
+    """Classes, by smallest id, of texts with the keys given, all shingles weighing the same."""
+    import numpy as np
+
+    name = {d.to_bytes(16): d for d in docs}
+    texts = spark.createDataFrame([(k, docs[d]) for k, d in name.items()], "key binary, text string")
+    signed = spark.createDataFrame([(k, keys[d]) for k, d in name.items()], "key binary, keys array<bigint>")
+    label = near_dedup._link(signed, near_dedup.Linker(texts, np.ones((2, near_dedup.WIDTH), np.float32), 0.8)).collect()
+    of = {name[bytes(r["id"])]: bytes(r["class"]) for r in label}
+    first: dict[bytes, int] = {}
+    for d in sorted(of):
+        first.setdefault(of[d], d)
+    return {d: first[of[d]] if d in of else d for d in docs}
+
+
+def test_groups_are_worked_off_when_a_round_links_nothing(spark):
+    """Members of one key, of which the two that are alike share their changes with eight others that have more groups, and that are met first."""
+    base, e, x = prose(21, 200), [3, 9, 15, 21], [30 + 8 * k for k in range(8)]
+
+    def changed(**at: list[int]) -> str:
+        w = base.split(" ")
+        for tag, places in at.items():
+            for j in places:
+                w[j] = f"{tag}at{j}"
+        return " ".join(w)
+
+    docs = {0: base, 1: changed(e=e, own1=[100, 110]), 2: changed(e=e, own2=[120, 130]), 99: prose(22, 50)}
+    docs |= {10 + k: changed(e=e, x=x, **{f"z{k}": [98 + 10 * k]}) for k in range(8)}
+    docs |= {30 + k: changed(x=x, **{f"d{k}": [102 + 7 * k]}) for k in range(4)}
+    want = {0: 0, 1: 1, 2: 1, 99: 99} | {10 + k: 10 for k in range(8)} | {30 + k: 30 for k in range(4)}
+    assert linked(spark, docs, {d: [7] * (d != 99) + [8] * (d in (0, 99)) for d in docs}) == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(a, a + 1) for a in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)]
