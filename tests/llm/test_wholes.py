@@ -128,6 +128,23 @@ def test_groups_are_worked_off_when_a_round_links_nothing(spark):
     assert linked(spark, docs, {d: [7] * (d != 99) + [8] * (d in (0, 99)) for d in docs}) == want
 
 
+def test_rows_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """One large group of near copies, many of them unlike its head and each other: classes as by brute force, few pairs a member, and no member at every change that it shares with others."""
+    made, write_out = Counter(), near_dedup.written
+
+    def counted(df, name):
+        out = write_out(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    docs = {k: edited(prose(23, 60), k % 5, 900 + k) for k in range(240)}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(documents(spark, list(docs.items()))).collect()}
+    assert got == brute_classes(docs)
+    members = made["near-wanted"]
+    assert members > 120 and made["near-pairs"] <= 4 * members and made["near-changed"] <= 2 * members
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(a, a + 1) for a in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)]
