@@ -19,10 +19,13 @@ outweigh all that the group shares, and its links would be lost.
    the first change that they share leaves this much, itself included, to both of them. So a member is
    grouped by those of its changes alone that leave enough for some other that has the change too.
    Members of keys that are still in several classes are grouped anew by such changes. Groups of up to
-   ``SMALL`` members are verified in full; larger ones get a head of their own, against which all are
-   verified, and those still in several classes are split by their changes against that head in turn,
-   until no group is left. A group loses its head each time, so this ends, and no pair that shares a key
-   is left out: it is verified, or in one class already, or ruled out by what it can share.
+   ``SMALL`` members are verified in full. In larger ones, of up to ``LISTED``, what is left to two members
+   is held against u(x) and u(y) for every two, without their texts; the pairs that this leaves are verified
+   if they are no more for each member than in a group of ``SMALL``, else those in none of them go. All other
+   groups get a head of their own, against which all are verified, and those still in several classes are
+   split by their changes against that head in turn, until no group is left. A group loses its head each
+   time, so this ends, and no pair that shares a key is left out: it is verified, or in one class already,
+   or ruled out by what it can share.
 
 Classes are connected components, by rounds of label exchange over what is newly linked, written to the
 shared folder. A pair at similarity 0.8 shares one of the 24 keys with a chance of about 0.999, at 0.9 of almost 1.
@@ -53,6 +56,8 @@ BANDS = ARRANGED * SAMPLES // ROWS
 WIDTH, SLICES, F0 = 1 << 20, 128, 1 / 2048
 #: Groups of at most so many members are verified pair by pair.
 SMALL = 8
+#: In groups of at most so many members those that may be alike by their numbers are listed; larger groups get a head at once.
+LISTED = 4096
 _TABLE = 1 << 16
 _FOLD = bytes(B.LOWER)
 #: Shingles that the sketch adds up at once.
@@ -305,6 +310,31 @@ def _small(rows: DataFrame) -> DataFrame:
     return one.join(two, "g").where(f"x < y AND {_MAY}").select("x", "y")
 
 
+def _may_pairs(rows: DataFrame) -> DataFrame:
+    """Of groups of several rows, the pairs (b, y) that may be alike, if they are no more for each row than in a group of SMALL; else the rows that may be alike to some other, y null."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        n, left, u = len(group), group.column("left").to_numpy(), group.column("u").to_numpy()
+        of = group.column("class").combine_chunks().dictionary_encode().indices.to_numpy()
+        found, size, some = [], np.zeros(n, np.int64), np.zeros(n, bool)
+        for i in range(n):
+            may = (of != of[i]) & (2 * np.minimum(left, left[i]) >= u + u[i])  # as _MAY
+            size[i], some[i] = may[:i].sum(), may.any()
+            if 2 * size.sum() <= (SMALL - 1) * n:
+                found.append(np.flatnonzero(may[:i]))
+        if len(found) == n:
+            y = group.column("b").combine_chunks().take(pa.array(np.concatenate(found), pa.int64()))
+            group = group.take(pa.array(np.repeat(np.arange(n), size), pa.int64()))
+        else:
+            group = group.filter(pa.array(some))
+            y = pa.nulls(len(group), pa.binary())
+        yield from group.append_column("y", y).combine_chunks().to_batches()
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy("g").applyInArrow(run, f"{kinds}, y binary")
+
+
 def _open(rows: DataFrame, group: list[str], a: str, order: list[str]) -> DataFrame:
     """rows, with n, of the groups that may hold links between classes. Of groups of the same members and head a, one will do: the first in order, which leaves most."""
     # Of two members unlike the head both have the change among their first (p); those that have it further on meet members like the head alone.
@@ -367,12 +397,15 @@ def _link(signed: DataFrame, linker: Linker) -> DataFrame:
     rows = written(rows.select(F.xxhash64("head").alias("g"), F.col("head").alias("a"), "b").distinct(), "near-members")
     while rows.limit(1).count():
         rows = _by_changes(linker, rows)
+        listed = written(_may_pairs(rows.where((F.col("n") > SMALL) & (F.col("n") <= LISTED))), "near-may")
+        pairs = listed.where("y is not null").select(F.col("b").alias("x"), "y")
+        large = rows.where(F.col("n") > LISTED).unionByName(listed.where("y is null").drop("y"))
         # The member that is nearest to the former head is the next one.
         head = F.struct(F.col("b").alias("head"), F.col("class").alias("cx"), F.col("left").alias("lx"), F.col("u").alias("ux"))
-        heads = rows.where(F.col("n") > SMALL).groupBy("g").agg(F.min_by(head, F.struct("total", "b")).alias("h")).select("g", "h.*")
-        large = written(rows.withColumnsRenamed({"class": "cy", "left": "ly", "u": "uy"}).join(heads, "g"), "near-group-heads")
+        heads = large.groupBy("g").agg(F.min_by(head, F.struct("total", "b")).alias("h")).select("g", "h.*")
+        large = written(large.withColumnsRenamed({"class": "cy", "left": "ly", "u": "uy"}).join(heads, "g"), "near-group-heads")
         met = large.where(_MAY).select(F.col("head").alias("x"), F.col("b").alias("y"))
-        linker.verify(_small(rows).unionByName(met))
+        linker.verify(_small(rows).unionByName(pairs).unionByName(met))
         rows = linker.still_mixed(large.where("b != head").select("g", F.col("head").alias("a"), "b"))
         rows = written(rows.select("g", "a", "b"), "near-members")
     return linker.label

@@ -145,6 +145,35 @@ def test_rows_grow_with_the_members_of_a_group(spark, monkeypatch):
     assert members > 120 and made["near-pairs"] <= 4 * members and made["near-changed"] <= 2 * members
 
 
+def test_members_are_not_met_anew_in_every_group_of_theirs(spark, monkeypatch):
+    """Near copies too unlike each other for most links: texts are not compared with heads of all the groups that they are in. Without lists of the pairs that may be alike, classes are the same."""
+    against, write_out = [], near_dedup.written
+
+    def counted(df, name):
+        out = write_out(df, name)
+        if name == "near-against":
+            against.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    docs = {k: edited(prose(24, 200), 2 + k % 3, 1300 + k) for k in range(300)}
+    want = brute_classes(docs)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(documents(spark, list(docs.items()))).collect()}
+    assert got == want and sum(against) <= 2 * len(docs)
+    monkeypatch.setattr(near_dedup, "LISTED", 0)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(documents(spark, list(docs.items()))).collect()}
+    assert got == want
+
+
+def test_pairs_that_may_be_alike(spark):
+    """Few pairs are listed; of a group with more, the members that may be alike to some other stay."""
+    rows = [(1, bytes([k]), bytes([k // 2]), 0.0, 1.0, 1.0 if k < 4 else 0.5, 12) for k in range(12)]  # (0, 1) and (2, 3) are of one class
+    rows += [(2, bytes([k]), bytes([k]), 0.0, 1.0, 0.5 if k == 7 else 1.0, 12) for k in range(12)]
+    got = near_dedup._may_pairs(spark.createDataFrame(rows, "g long, b binary, class binary, total double, u double, left double, n long")).collect()
+    of = {g: sorted((r["b"][0], r["y"] and r["y"][0]) for r in got if r["g"] == g) for g in (1, 2)}
+    assert of == {1: [(2, 0), (2, 1), (3, 0), (3, 1)], 2: [(k, None) for k in range(12) if k != 7]}
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(a, a + 1) for a in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)]
