@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +18,23 @@ UBIQUITOUS = ("init", "deinit", "get", "set", "add", "new", "push", "pop", "len"
 def imports(syms: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct (src, dst): imports that resolve to a file of the corpus, by the first candidate that exists."""
     lang, spec = T.language(F.col("path")), F.col("name")
-    folder = T.dirname(F.col("path"))
+    each = syms.where("kind = 'import' and path is not null and name is not null").select(F.col("path").alias("src"), lang.alias("lang"), T.dirname(F.col("path")).alias("folder"), spec.alias("spec"))
+    each = each.repartition("lang", "folder", "spec")
+    j = each.join(resolved(each, files).hint("shuffle_hash"), ["lang", "folder", "spec"])
+    return j.select("src", "dst").where("src != dst").distinct()
+
+
+def resolved(each: DataFrame, files: DataFrame) -> DataFrame:
+    """lang, folder, spec, dst: what an import resolves to depends on its text, the folder and the language only, so that each is tried once, however many files have it."""
+    # src is looked at to keep it: with all columns in use, this and the join read the same exchange, and files are taken apart once.
+    asked = each.groupBy("lang", "folder", "spec").agg(F.max(F.length("src")).alias("longest")).where("longest >= 0")
+    tried = asked.select("lang", "folder", "spec", F.posexplode(_tried(F.col("lang"), F.col("folder"), F.col("spec"))).alias("rank", "dst"))
+    found = tried.join(files.select(F.col("path").alias("dst")), "dst", "left_semi")
+    return found.groupBy("lang", "folder", "spec").agg(F.min_by("dst", "rank").alias("dst"))
+
+
+def _tried(lang: Column, folder: Column, spec: Column) -> Column:
+    """Paths that an import may mean in a file of the folder, best first."""
     near = F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/")))
     rel = F.regexp_replace(F.concat(near, spec), r"(^|/)\./", "$1")
     for _ in range(4):  # one parent step each
@@ -27,14 +43,10 @@ def imports(syms: DataFrame, files: DataFrame) -> DataFrame:
     py = F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py")), F.concat(near, dotted, F.lit(".py")), F.concat(near, dotted, F.lit("/__init__.py")))
     ts = F.array(rel, *[F.concat(rel, F.lit(x)) for x in (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")])
     body = F.regexp_replace(F.regexp_replace(spec, r"\s+as\s+\w+|::\*|::?\{.*", ""), r"^(?:crate|self)::", "")
-    root = F.regexp_extract("path", r"^(.*?src/)", 1)
+    root = F.regexp_extract(near, r"^(.*?src/)", 1)
     rs_path, parent = F.replace(body, F.lit("::"), F.lit("/")), F.replace(F.regexp_replace(body, r"::[^:]+$", ""), F.lit("::"), F.lit("/"))
     rs = F.array(*[F.concat(at, p, F.lit(e)) for at in (near, root) for p in (rs_path, parent) for e in (".rs", "/mod.rs")])
-    tried = F.concat(F.array(spec), F.when(lang == "python", py).when(lang.isin("typescript", "javascript", "svelte", "vue", "astro"), ts).when(lang == "rust", rs).otherwise(F.array(rel)))
-    each = syms.where("kind = 'import'").select(F.col("path").alias("src"), "ord", F.posexplode(tried).alias("rank", "dst"))
-    known = files.select(F.col("path").alias("dst")).distinct()
-    best = each.join(known, "dst", "left_semi").groupBy("src", "ord").agg(F.min_by("dst", "rank").alias("dst"))
-    return best.select("src", "dst").where("src != dst").distinct()
+    return F.concat(F.array(spec), F.when(lang == "python", py).when(lang.isin("typescript", "javascript", "svelte", "vue", "astro"), ts).when(lang == "rust", rs).otherwise(F.array(rel)))
 
 
 def _step(frontier: DataFrame, edges: DataFrame, alias: bool) -> DataFrame:

@@ -83,7 +83,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = t("region").select(F.concat(F.lit("region/r_"), s("r_regionkey"), F.lit(".py")).alias("path"), F.concat(F.lit("def region_"), s("r_regionkey"), F.lit("(x):\n    return x\n")).alias("content"))
     nation = t("nation").select(F.concat(F.lit("nation/n_"), s("n_nationkey"), F.lit(".py")).alias("path"), one("", ("n_nationkey", "n_regionkey"), "region.r", "nation", "region").alias("content"))
     supplier = t("supplier").select(F.concat(F.lit("supp/s_"), s("s_suppkey"), F.lit(".py")).alias("path"), one("", ("s_suppkey", "s_nationkey"), "nation.n", "supply", "nation").alias("content"))
-    of = t("lineitem").select("l_partkey", "l_suppkey").distinct().groupBy("l_partkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("k"))
+    of = t("lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("k"))
     each = lambda front, back: F.array_join(F.transform("k", lambda x: F.concat(F.lit(front), x.cast("string"), F.lit(back))), "")
     part = of.select(F.concat(F.lit("part/p_"), s("l_partkey"), F.lit(".py")).alias("path"), F.concat(each("import supp.s_", "\n"), F.lit("\n\ndef part_"), s("l_partkey"), F.lit("(x):\n"), each("    supply_", "(x)\n")).alias("content"))
     return region.unionByName(nation).unionByName(supplier).unionByName(part)

@@ -104,6 +104,22 @@ def test_graph(files, lines):
     assert {("src/app.py", 5, "comment_or_string"), ("src/app.py", 6, "call"), ("util.py", 1, "definition"), ("docs/guide.md", 1, "no_calls"), ("test/test_util.py", 4, "call")} <= calls
 
 
+def test_imports_are_resolved_once_for_a_folder(spark):
+    """What many files of a folder import is tried once, from rows that are read once; the results are those of each file."""
+    many = [(f"app/f{k}.py", "import lib.core\nimport lib.core\nfrom helper import x\n") for k in range(50)]
+    other = [("lib/core.py", "import lib.core\n"), ("app/helper.py", ""), ("web/src/a/m.rs", "use crate::b::Thing;\nmod n;\n"), ("web/src/b.rs", ""), ("web/src/a/n.rs", ""), ("web/x.ts", "import y from './y'\n"), ("web/y.ts", ""), ("top.py", "import lib.core\n")]
+    files = spark.createDataFrame(many + other, "path string, content string")
+    edges = graph.imports(outline.symbols(files), files)
+    want = {(p, d) for p, _ in many for d in ("lib/core.py", "app/helper.py")}
+    want |= {("web/src/a/m.rs", "web/src/b.rs"), ("web/src/a/m.rs", "web/src/a/n.rs"), ("web/x.ts", "web/y.ts"), ("top.py", "lib/core.py")}
+    assert sorted(map(tuple, edges.collect())) == sorted(want)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert final.count("MapInArrow") == 1 and "ReusedExchange" in final
+    each = spark.createDataFrame([(f"app/f{k}.py", "python", "app", "lib.core") for k in range(50)], "src string, lang string, folder string, spec string")
+    assert [tuple(r) for r in graph.resolved(each, files).collect()] == [("python", "app", "lib.core", "lib/core.py")]
+
+
 def test_cycle_ends(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     assert {(r["path"], r["depth"]) for r in graph.dependents(edges, "a").collect()} == {("c", 1), ("b", 2)}
