@@ -289,7 +289,8 @@ def outline_symbols(s, d):
 
 @query(f"WITH {CODE_SQL} SELECT path, name, 'function' AS kind, line_start, line_end, 0 AS rank FROM defs WHERE name = 'supply_7'")
 def symbol_lookup(s, d):
-    return outline.find_symbol(_code(s, d)[1], "supply_7").select("path", "name", "kind", "line_start", "line_end", "rank")
+    syms = outline.symbols(corpus.code_files(s, d), "supply_7")
+    return outline.find_symbol(syms, "supply_7").select("path", "name", "kind", "line_start", "line_end", "rank")
 
 
 @query(f"WITH {CODE_SQL}, c AS (SELECT src, caller, callee, row_number() OVER (PARTITION BY src ORDER BY CAST(regexp_extract(dst, '_([0-9]+)', 1) AS INTEGER)) AS k FROM edges) SELECT path, CAST(line_start + k AS INTEGER) AS line_num, name AS scope_name, 'function' AS scope_kind, line_start AS scope_start, line_end AS scope_end FROM c JOIN defs ON path = src WHERE starts_with(callee, 'supply_')")
@@ -355,8 +356,8 @@ def callees_unambiguous(s, d):
 
 @query(f"WITH {CODE_SQL}, c AS (SELECT src, callee, row_number() OVER (PARTITION BY src ORDER BY CAST(regexp_extract(dst, '_([0-9]+)', 1) AS INTEGER)) AS k FROM edges) SELECT src AS path, CAST(line_start + k AS INTEGER) AS line_num, 'call' AS status FROM c JOIN defs ON path = src WHERE callee = 'supply_7' UNION ALL SELECT path, line_start, 'definition' FROM defs WHERE name = 'supply_7'")
 def callers(s, d):
-    files, syms = _code(s, d)
-    return graph.callers(corpus.lines(files), syms, "supply_7").where("status in ('call', 'definition')").select("path", "line_num", "status")
+    files = corpus.code_files(s, d)
+    return graph.callers(corpus.lines(files), outline.symbols(files, "supply_7"), "supply_7").where("status in ('call', 'definition')").select("path", "line_num", "status")
 
 
 @query(f"WITH {LOG_SQL} SELECT path, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(size, seq) AS size, arg_max(timestamp, seq) AS timestamp FROM log GROUP BY path")

@@ -293,3 +293,17 @@ def test_trigrams_brute(spark):
                 a, b = want.get((t[i : i + 3], str(k)), (0, 0))
                 want[t[i : i + 3], str(k)] = a | (1 << ord(t[i + 3]) % 8 if i + 3 < len(t) else 0), b | 1 << i % 8
     assert got == want
+
+
+def test_symbols_leave_python_as_they_are_found(spark, monkeypatch):
+    """Symbols of many files make several batches, and with a name only the files that hold it are taken apart."""
+    from corvid.functions import batches
+
+    read = []
+    rows = ((p, k, *s) for p in range(40) for k, s in enumerate(read.append(p) or outline.outline("python", "import a\n" * 1000)))
+    first = next(batches.out(((str(p), *x) for p, *x in rows), outline._ARROW))
+    assert first.num_rows == batches.ROWS and len(read) < 12
+    files = spark.createDataFrame([("a.py", "def alpha():\n    pass\n"), ("b.py", "def beta():\n    alpha()\n"), ("c.py", None), ("d.go", "import (\n\t\"alpha\"\n)\n")], "path string, content string")
+    named = outline.symbols(files, "alpha")
+    assert {(r["path"], r["name"]) for r in named.collect()} == {("a.py", "alpha"), ("b.py", "beta"), ("d.go", "alpha")}
+    assert sorted(map(tuple, outline.find_symbol(named, "alpha").collect())) == sorted(map(tuple, outline.find_symbol(outline.symbols(files), "alpha").collect()))
