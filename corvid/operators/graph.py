@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvid.functions import batches as B
 from corvid.functions import text as T
+from corvid.operators import outline
 
 CALL = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)[ \t]*\("
-NO_CALLS = tuple("""if for while switch return catch sizeof typeof function fn def class struct enum match loop elif else try except with
+NO_CALLS = frozenset("""if for while switch return catch sizeof typeof function fn def class struct enum match loop elif else try except with
 assert print defer errdefer comptime test and or not in is lambda yield await async new delete throw case do goto using namespace
 template typename static_assert alignof decltype super self import from""".split())
 UBIQUITOUS = ("init", "deinit", "get", "set", "add", "new", "push", "pop", "len", "append", "main", "run", "close", "open", "read", "write", "next", "format", "print", "map", "filter", "toString")
@@ -83,18 +89,40 @@ def _reach(edges: DataFrame, path: str, max_depth: int | None, step) -> DataFram
     return seen.where("depth > 0")
 
 
-def bodies(syms: DataFrame, lines: DataFrame) -> DataFrame:
-    """Callees of each function: path, name, ord, callee (each once)."""
-    f = syms.where(F.col("kind").isin("function", "method", "test_decl")).select("path", "ord", "name", "line_start", "line_end")
-    j = lines.join(f, "path").where((F.col("line_num") > F.col("line_start")) & (F.col("line_num") <= F.col("line_end")))
-    return j.select("path", "ord", "name", F.explode(F.regexp_extract_all("line", F.lit(CALL), F.lit(1))).alias("callee")).where(~F.col("callee").isin(*NO_CALLS)).distinct()
+def bodies(files: DataFrame) -> DataFrame:
+    """Callees of each function: path, ord, name, callee (each once). A file is read as a whole, so that nothing is joined or exchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from B.out(((path, *x) for path, lang, t in B.each(batches) for x in called(lang, t or "")), _BODIES)
+
+    return outline.texts(files).mapInArrow(run, "path string, ord int, name string, callee string")
+
+
+_CALL = re.compile(CALL)
+_BODIES = pa.schema([("path", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("callee", pa.string())])
+
+
+def called(lang: str, content: str) -> Iterator[tuple[int, str, str]]:
+    """(ord, name, callee) of a file's functions; a line is taken apart once, however many functions are around it."""
+    lines, calls = content.split("\n"), {}
+    for k, (name, kind, first, last, _) in enumerate(outline.outline(lang, content)):
+        if kind in ("function", "method", "test_decl"):
+            seen: dict[str, None] = {}
+            for i in range(first, last):
+                if i not in calls:
+                    calls[i] = dict.fromkeys(c for c in _CALL.findall(lines[i]) if c not in NO_CALLS)
+                seen |= calls[i]
+            yield from ((k, name, c) for c in seen)
+
 
+def call_edges(syms: DataFrame, files: DataFrame) -> DataFrame:
+    """caller, callee, path of each, and weight: 1 over the number of definitions that the callee's name has.
 
-def call_edges(syms: DataFrame, lines: DataFrame) -> DataFrame:
-    """caller, callee, path of each, and weight: 1 over the number of definitions that the callee's name has."""
+    Definitions, which are fewer than calls, are the side that is held by key; calls are not sorted.
+    """
     d = syms.where(F.col("kind").isin("function", "method")).select(F.col("name").alias("callee"), F.col("path").alias("to_path"))
-    n = d.groupBy("callee").agg(F.count("*").alias("n"))
-    j = bodies(syms, lines).join(d.join(n, "callee"), "callee")
+    d = d.withColumn("n", F.count("*").over(W.partitionBy("callee")))
+    j = bodies(files).join(d.hint("shuffle_hash"), "callee")
     return j.select(F.col("name").alias("caller"), "callee", F.col("path").alias("from_path"), "to_path", (1 / F.col("n")).alias("weight"))
 
 

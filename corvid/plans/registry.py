@@ -336,7 +336,7 @@ def blast_radius(s, d):
 
 def _calls(s: SparkSession, d: str) -> DataFrame:
     files, syms = _code(s, d)
-    return graph.call_edges(syms, corpus.lines(files))
+    return graph.call_edges(syms, files)
 
 
 @query(f"WITH {CODE_SQL} SELECT caller, callee, src AS from_path, dst AS to_path, CAST(1 AS DOUBLE) AS weight FROM edges")

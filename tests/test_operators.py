@@ -307,3 +307,22 @@ def test_symbols_leave_python_as_they_are_found(spark, monkeypatch):
     named = outline.symbols(files, "alpha")
     assert {(r["path"], r["name"]) for r in named.collect()} == {("a.py", "alpha"), ("b.py", "beta"), ("d.go", "alpha")}
     assert sorted(map(tuple, outline.find_symbol(named, "alpha").collect())) == sorted(map(tuple, outline.find_symbol(outline.symbols(files), "alpha").collect()))
+
+
+def test_call_edges_join_definitions_only(spark):
+    """Bodies are read from files without a join; calls are not sorted to meet the definitions; weights are shared among those of a name."""
+    src = {
+        "a.py": "def one():\n    two(); two()\n    if (x):\n        three (1)\n\ndef two():\n    def inner():\n        one()\n    inner()\n",
+        "b.py": "import a\ndef three():\n    return four()\n",
+        "c.py": "def three():\n    pass\n",
+        "d.md": "def three():\n    one()\n",
+    }
+    files = spark.createDataFrame(list(src.items()), "path string, content string")
+    plan = graph.bodies(files)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {(r["path"], r["name"], r["callee"]) for r in graph.bodies(files).collect()} == {("a.py", "one", "two"), ("a.py", "one", "three"), ("a.py", "two", "inner"), ("a.py", "two", "one"), ("a.py", "inner", "one"), ("b.py", "three", "four")}
+    calls = graph.call_edges(outline.symbols(files), files)
+    assert "SortMergeJoin" not in calls._jdf.queryExecution().executedPlan().toString()
+    got = {(r["caller"], r["callee"], r["from_path"], r["to_path"], r["weight"]) for r in calls.collect()}
+    assert got == {("one", "two", "a.py", "a.py", 1.0), ("two", "inner", "a.py", "a.py", 1.0), ("two", "one", "a.py", "a.py", 1.0), ("inner", "one", "a.py", "a.py", 1.0), ("one", "three", "a.py", "b.py", 0.5), ("one", "three", "a.py", "c.py", 0.5)}
+    assert {r["path"]: r["centrality"] for r in graph.centrality(calls).collect()} == {"a.py": 4.0, "b.py": 0.5, "c.py": 0.5}
