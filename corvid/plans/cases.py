@@ -118,7 +118,7 @@ def _all_of(words: list[str]) -> str:
 @query(f"""WITH {corpus.TEXT_FILES_SQL}, f AS (SELECT path, translate(content, '{T.UPPER}', '{T.LOWER}') AS c FROM files)
 SELECT path FROM f WHERE ({_all_of(['the ', 'tion'])}) OR ({_all_of(['eaux'])})""")
 def regex_or_candidates(s, d):
-    return index.regex_candidates(index.trigrams(corpus.text_files(s, d)), r"the [a|b]+tion|eaux\b")
+    return index.candidates_in(corpus.text_files(s, d), pattern=r"the [a|b]+tion|eaux\b")
 
 
 @query(f"WITH {LOG_SQL} SELECT path, max(seq) AS seq, max_by(op, seq) AS op, max_by(size, seq) AS size FROM log GROUP BY path")

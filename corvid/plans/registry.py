@@ -210,12 +210,12 @@ def trigram_postings_stats(s, d):
 
 @query(f"WITH {TRI} SELECT path FROM grams WHERE gram IN ('tha', 'han', 'and', 'nd ', 'd r', ' re') GROUP BY path HAVING count(*) = 6")
 def trigram_candidates(s, d):
-    return index.trigram_candidates(index.trigrams(_files(s, d)), "thand re")
+    return index.candidates_in(_files(s, d), "thand re")
 
 
 @query(f"WITH {TRI} SELECT path FROM grams WHERE gram IN ('tha', 'han', 'and', 'ree', 'eed') GROUP BY path HAVING count(*) = 5")
 def regex_candidates(s, d):
-    return index.regex_candidates(index.trigrams(_files(s, d)), r"thand\s+x?reed")
+    return index.candidates_in(_files(s, d), pattern=r"thand\s+x?reed")
 
 
 @query(f"WITH {TEXT_FILES_SQL}, ch AS (SELECT string_split(content, '') AS c FROM files), p AS (SELECT unnest(list_transform(range(1, len(c)), lambda i: {{'a': c[i], 'b': c[i + 1]}})) AS z FROM ch), n AS (SELECT z.a AS a, z.b AS b, count(*) AS n FROM p GROUP BY ALL) SELECT a, b, n, CAST(65024 - floor(n * 60928 / (SELECT max(n) FROM n)) AS INTEGER) AS weight FROM n")

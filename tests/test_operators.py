@@ -326,3 +326,25 @@ def test_call_edges_join_definitions_only(spark):
     got = {(r["caller"], r["callee"], r["from_path"], r["to_path"], r["weight"]) for r in calls.collect()}
     assert got == {("one", "two", "a.py", "a.py", 1.0), ("two", "inner", "a.py", "a.py", 1.0), ("two", "one", "a.py", "a.py", 1.0), ("inner", "one", "a.py", "a.py", 1.0), ("one", "three", "a.py", "b.py", 0.5), ("one", "three", "a.py", "c.py", 0.5)}
     assert {r["path"]: r["centrality"] for r in graph.centrality(calls).collect()} == {"a.py": 4.0, "b.py": 0.5, "c.py": 0.5}
+
+
+def test_bm25_takes_lines_apart_once(spark):
+    """Counts of lines in any order and number of parts; best keeps ties; scores are those of the join for any number of queries."""
+    docs = [(f"d{k}", n, line) for k in range(12) for n, line in enumerate(["parseThing the_end X", "thing END end", "", None, "HTTPServer2 a bc " * (k % 4)], 1)]
+    lines = spark.createDataFrame(docs, "path string, line_num int, line string").repartition(5, "line_num")
+    queries = spark.createDataFrame([("a", ["thing", "end", "end"]), ("b", ["server", "http", "2", "zz"]), (None, ["parsething"]), ("c", ["zz", None])], "query_id string, terms array<string>")
+    plain = lambda df: sorted((str(r["query_id"]), r["path"], round(r["score"], 9), r["best_line"]) for r in df.collect())
+    want = plain(search._scores_by_join(lines.fillna("", "line"), queries))
+    assert plain(search.bm25_scores(lines, queries)) == want and len(want) == 12 + 9 + 12
+    assert plain(search.bm25_scores(lines.coalesce(1), queries, best=1)) == [r for r in want if r[2] == max(x[2] for x in want if x[0] == r[0])]
+    assert search.bm25_scores(lines, queries)._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_candidates_look_for_their_grams_only(spark):
+    texts = ["", "ab", "THAND  reed", "thand\nxREED thand", "than d reed", "eed ree and han tha \U0001f600é中", None]
+    files = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, content string")
+    few, every = index.trigrams(files, ["ree", "é中x", "\U0001f600é中"]), index.trigrams(files)
+    assert sorted(map(tuple, few.collect())) == sorted(tuple(r) for r in every.collect() if r["gram"] in ("ree", "\U0001f600é中"))
+    assert paths(index.candidates_in(files, pattern=r"thand\s+x?reed")) == paths(index.regex_candidates(every, r"thand\s+x?reed")) == ["2", "3", "5"]
+    assert paths(index.candidates_in(files, "ThAnd")) == paths(index.trigram_candidates(every, "thand")) == ["2", "3", "5"]
+    assert index.candidates_in(files, pattern="a|bcd") is None and index.candidates_in(files, "ab") is None
