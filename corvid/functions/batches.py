@@ -10,14 +10,14 @@ import pyarrow as pa
 ROWS = 1 << 13
 
 
-def out(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of at most ROWS; only one batch is held at a time."""
-    for part in batched(rows, ROWS):
+def out(rows: Iterable[tuple], schema: pa.Schema, most: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of at most so many; only one batch is held at a time."""
+    for part in batched(rows, most):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
 def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of batches as Python values, one at a time."""
     for part in batches:
-        for row in zip(*part.columns, strict=True):
-            yield tuple(x.as_py() for x in row)
+        for at in range(0, part.num_rows, 64):  # few at a time, as texts may be long
+            yield from zip(*(c.to_pylist() for c in part.slice(at, 64).columns), strict=True)

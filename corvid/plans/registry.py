@@ -178,7 +178,7 @@ def bm25_batch(s, d):
 
     terms = F.array_distinct(F.transform(F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 6), lambda w: F.lower(w)))
     q = corpus.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
-    r = search.bm25_scores(_lines(s, d), q).select("query_id", "path", F.round("score", 6).alias("score"))
+    r = search.bm25_scores(_lines(s, d), q, best=5).select("query_id", "path", F.round("score", 6).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "path")
     return r.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
 
@@ -193,7 +193,7 @@ def bm25_batch_whole(s, d):
 
     each = F.transform(F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 2), lambda w: F.concat(F.array(F.lower(w)), T.subtokens(w)))
     q = corpus.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.flatten(each)).alias("terms"))
-    r = search.bm25_scores(_lines(s, d), q).select("query_id", "path", F.round("score", 6).alias("score"))
+    r = search.bm25_scores(_lines(s, d), q, best=5).select("query_id", "path", F.round("score", 6).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "path")
     return r.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
 
