@@ -60,28 +60,30 @@ def _step(frontier: DataFrame, edges: DataFrame, alias: bool) -> DataFrame:
     keys = frontier.select(F.col("path").alias("key"))
     if alias:
         keys = keys.unionByName(frontier.select(T.basename(F.col("path")).alias("key"))).distinct()
-    return edges.join(keys, F.col("dst") == F.col("key"), "left_semi").select(F.col("src").alias("path")).distinct()
+    return edges.join(keys.hint("shuffle_hash"), F.col("dst") == F.col("key"), "left_semi").select(F.col("src").alias("path")).distinct()
 
 
 def dependents(edges: DataFrame, path: str, max_depth: int | None = None, alias: bool = True) -> DataFrame:
     """(path, depth) of what imports a file, and what imports that, breadth first. Each level is cut off by checkpoint()."""
-    return _reach(edges, path, max_depth, lambda f: _step(f, edges, alias))
+    return _reach(edges, path, max_depth, alias)
 
 
 def dependencies(edges: DataFrame, path: str, max_depth: int | None = None) -> DataFrame:
     """(path, depth) of what a file imports, and so on."""
     turned = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return _reach(edges, path, max_depth, lambda f: _step(f, turned, False))
+    return _reach(turned, path, max_depth, False)
 
 
-def _reach(edges: DataFrame, path: str, max_depth: int | None, step) -> DataFrame:  # noqa: ANN001
+def _reach(edges: DataFrame, path: str, max_depth: int | None, alias: bool) -> DataFrame:
+    """Edges are dealt out by what they lead to once and kept so; each level then exchanges files only, and sorts no edge."""
     spark = edges.sparkSession
+    edges = edges.select("src", "dst").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dst").persist()
     cut = bool(spark.sparkContext.getCheckpointDir())
     seen = spark.range(1).select(F.lit(path).alias("path"), F.lit(0).alias("depth"))
     level, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        level = step(level).join(seen, "path", "left_anti").withColumn("depth", F.lit(depth))
+        level = _step(level, edges, alias).join(seen, "path", "left_anti").withColumn("depth", F.lit(depth))
         level = level.checkpoint() if cut else level.persist()
         if level.limit(1).count() == 0:
             break

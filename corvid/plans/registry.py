@@ -321,17 +321,17 @@ reach AS (SELECT path, 1 AS depth FROM r1 UNION ALL SELECT path, 2 FROM r2 UNION
 
 @query(f"WITH {REACH} SELECT path, depth FROM reach")
 def transitive_dependents(s, d):
-    return graph.dependents(_imports(s, d).persist(), "region/r_2.py")
+    return graph.dependents(_imports(s, d), "region/r_2.py")
 
 
 @query(f"WITH {CODE_SQL}, a AS (SELECT DISTINCT dst AS path FROM edges WHERE src = 'part/p_3.py'), b AS (SELECT DISTINCT dst AS path FROM edges WHERE src IN (SELECT path FROM a)), c AS (SELECT DISTINCT dst AS path FROM edges WHERE src IN (SELECT path FROM b)) SELECT path, 1 AS depth FROM a UNION ALL SELECT path, 2 FROM b UNION ALL SELECT path, 3 FROM c")
 def transitive_deps(s, d):
-    return graph.dependencies(_imports(s, d).persist(), "part/p_3.py")
+    return graph.dependencies(_imports(s, d), "part/p_3.py")
 
 
 @query(f"WITH {REACH} SELECT depth, count(*) AS files FROM reach GROUP BY depth")
 def blast_radius(s, d):
-    return graph.blast_radius(_imports(s, d).persist(), "region/r_2.py")
+    return graph.blast_radius(_imports(s, d), "region/r_2.py")
 
 
 def _calls(s: SparkSession, d: str) -> DataFrame:
