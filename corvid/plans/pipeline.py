@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions import text as T
-from corvid.operators import graph, search
+from corvid.operators import graph, outline, search
 from corvid.sources import corpus
 
 
@@ -27,6 +27,11 @@ class Corpus:
             self._lines = corpus.lines(self.files)
         return self._lines
 
+    def named(self, name: str) -> DataFrame:
+        """Symbols of a name; without a table of symbols from the files that hold the name."""
+        syms = outline.symbols(self.files, name) if self.symbols is None else self.symbols
+        return syms.where(F.col("name") == name)
+
 
 class Pipeline:
     """Pipeline(corpus).glob("src/**").search("x").limit(5).rows()"""
@@ -71,6 +76,7 @@ class Pipeline:
         if self.c.imports is None or self.paths is None:
             raise ValueError("deps needs imports and a set of files")
         e = self.c.imports if imported_by else self.c.imports.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        e = e.persist() if transitive else e
         level = seen = self.paths
         while True:
             level = e.join(level.select(F.col("path").alias("dst")), "dst", "left_semi").select(F.col("src").alias("path")).distinct().join(seen, "path", "left_anti").persist()
@@ -147,8 +153,8 @@ def bundle(c: Corpus, calls: list[list[dict]]) -> list[tuple[DataFrame, str | No
 
 def blast(c: Corpus, name: str) -> DataFrame:
     """section, path, n: definitions and callers of a name, and what depends on the files that define it."""
-    d = c.symbols.where((F.col("name") == name) & (F.col("kind") != "import"))
-    calls = graph.callers(c.lines, c.symbols, name).where("status = 'call'")
+    d = c.named(name).where("kind != 'import'")
+    calls = graph.callers(c.lines, c.named(name), name).where("status = 'call'")
     one = d.groupBy("path").agg(F.count("*").alias("n")).select(F.lit("definition").alias("section"), "path", "n")
     two = calls.groupBy("path").agg(F.count("*").alias("n")).select(F.lit("caller").alias("section"), "path", "n")
     deps = c.imports.join(d.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n")).select(F.lit("dependent").alias("section"), "path", "n")
@@ -174,13 +180,13 @@ def compass(c: Corpus, task: str, max_files: int = 5) -> DataFrame:
     parts = []
     for n in names:
         if intent in ("define", "overview", "blast_radius"):
-            parts.append(c.symbols.where((F.col("name") == n) & (F.col("kind") != "import")).select(F.lit("definition").alias("section"), "path", F.col("line_start").alias("line_num"), F.col("detail").alias("text")))
+            parts.append(c.named(n).where("kind != 'import'").select(F.lit("definition").alias("section"), "path", F.col("line_start").alias("line_num"), F.col("detail").alias("text")))
         if intent in ("callers", "overview", "blast_radius"):
-            parts.append(graph.callers(c.lines, c.symbols, n).where("status = 'call'").select(F.lit("caller").alias("section"), "path", "line_num", F.col("line").alias("text")))
+            parts.append(graph.callers(c.lines, c.named(n), n).where("status = 'call'").select(F.lit("caller").alias("section"), "path", "line_num", F.col("line").alias("text")))
         if intent == "blast_radius":
             parts.append(blast(c, n).where("section = 'dependent'").select("section", "path", F.col("n").cast("int").alias("line_num"), F.lit("").alias("text")))
-    hits = search.ranked(c.lines, task, max_files)
     if not names or intent == "overview":
+        hits = search.ranked(c.lines, task, max_files)
         parts.append(hits.select(F.lit("file").alias("section"), "path", "line_num", F.col("line").alias("text")))
     out = parts[0]
     for p in parts[1:]:

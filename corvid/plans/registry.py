@@ -441,7 +441,7 @@ def snapshot_json(s, d):
 @query()
 def context_compose(s, d):
     files, syms = _code(s, d)
-    return P.context(Corpus(files, syms, graph.imports(syms, files)), "what breaks if supply_7 changes")
+    return P.context(Corpus(files, imports=graph.imports(syms, files)), "what breaks if supply_7 changes")
 
 
 @query()

@@ -348,3 +348,29 @@ def test_candidates_look_for_their_grams_only(spark):
     assert paths(index.candidates_in(files, pattern=r"thand\s+x?reed")) == paths(index.regex_candidates(every, r"thand\s+x?reed")) == ["2", "3", "5"]
     assert paths(index.candidates_in(files, "ThAnd")) == paths(index.trigram_candidates(every, "thand")) == ["2", "3", "5"]
     assert index.candidates_in(files, pattern="a|bcd") is None and index.candidates_in(files, "ab") is None
+
+
+def test_levels_exchange_files_only(spark):
+    """Edges that are dealt out once are neither exchanged nor sorted by a level; names without folders reach as before."""
+    edges = spark.createDataFrame([("a.py", "lib/b.py"), ("b", "a.py"), ("c", "b"), ("d", "b.py"), ("a.py", "c")], "src string, dst string")
+    dealt = edges.repartition(4, "dst").persist()
+    dealt.count()
+    level = graph._step(spark.createDataFrame([("lib/b.py",)], "path string"), dealt, False)
+    level.collect()
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert "ShuffledHashJoin" in final and "Sort" not in final.replace("SortAggregate", "") and "hashpartitioning(dst" not in final.split("InMemoryRelation")[0]
+    assert {tuple(r) for r in graph.dependents(edges, "lib/b.py").collect()} == {("a.py", 1), ("d", 1), ("b", 2), ("c", 3)}
+    assert {tuple(r) for r in graph.dependencies(edges, "b").collect()} == {("a.py", 1), ("lib/b.py", 2), ("c", 2)}
+    dealt.unpersist()
+
+
+def test_context_without_a_table_of_symbols(spark, files):
+    """Names are looked up in the files that hold them, with the rows that a table of all symbols gives."""
+    from corvid.plans.pipeline import Corpus, context
+
+    syms = outline.symbols(files)
+    edges = graph.imports(syms, files)
+    rows = lambda c: sorted(map(str, context(c, "what breaks if `helper` changes").collect()))
+    got = rows(Corpus(files, imports=edges))
+    assert got == rows(Corpus(files, syms, edges)) and any("dependent" in r for r in got)
